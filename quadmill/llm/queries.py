@@ -16,9 +16,37 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op8_mixing": op8_mixing}
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import BASE, apply_policy, ledger, mask
+
+    led = apply_policy(ledger(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    failed = F.col("failed_bits").bitwiseAND(mask(BASE)) != 0
+    return led.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "kept", "failed_bits")
+
+
+def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tokens import count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {"op6_quality": op6_quality, "op7_tokens": op7_tokens, "op8_mixing": op8_mixing}
 
 ORACLES = {
+    "op6_quality": r"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM t),
+g AS (SELECT r, unnest(range(1, len(ws) - 3)) AS i, ws FROM w WHERE len(ws) >= 5),
+k AS (SELECT r, i, ws[i] || ' ' || ws[i+1] || ' ' || ws[i+2] || ' ' || ws[i+3] || ' ' || ws[i+4] AS k FROM g),
+f AS (SELECT r, i FROM k QUALIFY count(*) OVER (PARTITION BY r, k) > 1),
+c AS (SELECT r, sum(least(5, coalesce(nx - i, 5)))::BIGINT AS n FROM (SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS nx FROM f) GROUP BY r),
+m AS (SELECT doc_id, len(ws)::BIGINT AS n_words, len(array_to_string(ws, ''))::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+      len(ls)::BIGINT AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words,
+      len(regexp_extract_all(text, '\p{Lu}')) AS n_upper, len(regexp_extract_all(text, '!')) AS n_ex FROM w LEFT JOIN c USING (r)),
+b AS (SELECT *, ((n_words < 10)::BIGINT + 2 * (100 * n_repeat_words > 20 * n_words)::BIGINT + 4 * (5 * n_symbols > n_words)::BIGINT + 8 * (2 * n_dup_lines > n_lines)::BIGINT
+      + 16 * (n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 25 * n_words))::BIGINT + 32 * (10 * n_upper > 4 * word_chars)::BIGINT + 64 * (5 * n_ex > n_words)::BIGINT)::BIGINT AS failed_bits FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed_bits & 3 <> 0 AS base_failed, failed_bits = 0 AS kept, failed_bits FROM b
+""",
     "op8_mixing": r"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
                   md5(coalesce(doc_id::VARCHAR, '') || ':17') AS k FROM documents),
