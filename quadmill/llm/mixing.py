@@ -11,7 +11,7 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MAX_EPOCHS = 2
 #: Documents in a bin of the key range, about; a large source is cut into as many bins as that takes.
-BIN_ROWS = 20_000
+BIN_ROWS = 2_000
 
 
 def with_size(docs: DataFrame, seed: int) -> DataFrame:
