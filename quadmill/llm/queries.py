@@ -16,6 +16,19 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contamination
+
+    out = contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import BASE, apply_policy, ledger, mask
 
@@ -30,9 +43,34 @@ def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {"op6_quality": op6_quality, "op7_tokens": op7_tokens, "op8_mixing": op8_mixing}
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan
+
+    return scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+QUERIES = {
+    "op2_decontamination": op2_decontamination,
+    "op3_simhash": op3_simhash,
+    "op6_quality": op6_quality,
+    "op7_tokens": op7_tokens,
+    "op8_mixing": op8_mixing,
+    "op10_licenses": op10_licenses,
+}
 
 ORACLES = {
+    "op2_decontamination": r"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+i AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+l AS (SELECT item_id, ws, least(13, len(ws)) AS n FROM i WHERE len(ws) > 0),
+w AS (SELECT DISTINCT item_id, n, array_to_string(ws[a:a + n - 1], ' ') AS win FROM (SELECT item_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS a FROM l)),
+d AS (SELECT r, a, n, array_to_string(ws[a:a + n - 1], ' ') AS win FROM (SELECT r, ws, n, unnest(range(1, len(ws) - n + 2)) AS a FROM t, (SELECT DISTINCT n FROM l) WHERE len(ws) >= n)),
+h AS (SELECT r, a, d.n, item_id FROM d JOIN w USING (n, win)),
+p AS (SELECT r, count(DISTINCT p)::BIGINT AS n_hit FROM (SELECT r, unnest(range(a, a + n)) AS p FROM h) GROUP BY r),
+s AS (SELECT r, count(DISTINCT item_id)::BIGINT AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM h GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated FROM t LEFT JOIN p USING (r) LEFT JOIN s USING (r)
+""",
     "op6_quality": r"""
 WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM t),
