@@ -35,6 +35,12 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import repeats
+
+    return repeats(table(spark, sf_dir, "documents")).select("doc_id", "first_doc_id", "start", "end")
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import BASE, apply_policy, ledger, mask
 
@@ -59,6 +65,7 @@ QUERIES = {
     "op1_urls": op1_urls,
     "op2_decontamination": op2_decontamination,
     "op3_simhash": op3_simhash,
+    "op4_substrings": op4_substrings,
     "op6_quality": op6_quality,
     "op7_tokens": op7_tokens,
     "op8_mixing": op8_mixing,
