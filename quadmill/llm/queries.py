@@ -41,6 +41,12 @@ def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats(table(spark, sf_dir, "documents")).select("doc_id", "first_doc_id", "start", "end")
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract
+
+    return extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import BASE, apply_policy, ledger, mask
 
@@ -55,6 +61,14 @@ def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import held_out, score, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = score(docs, train(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licenses import scan
 
@@ -66,9 +80,11 @@ QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op3_simhash": op3_simhash,
     "op4_substrings": op4_substrings,
+    "op5_html": op5_html,
     "op6_quality": op6_quality,
     "op7_tokens": op7_tokens,
     "op8_mixing": op8_mixing,
+    "op9_toxicity": op9_toxicity,
     "op10_licenses": op10_licenses,
 }
 
