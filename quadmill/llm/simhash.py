@@ -61,6 +61,15 @@ def links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return met.select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b")).distinct()
 
 
+def _groups(docs: DataFrame, distance: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, h, fp) of every row, h the text's hash; (fp, root) of every fingerprint."""
+    scratch = Scratch(docs.sparkSession, "simhash")
+    rows = scratch.save(docs.select("doc_id", F.xxhash64("text").alias("h"), fingerprints("text").alias("fp")))
+    nodes = rows.select("fp").distinct()
+    roots = connected_components(scratch.save(links(nodes, distance)), scratch)
+    return rows, nodes.join(roots, nodes.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row of docs.
 
@@ -68,12 +77,22 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     get the smallest id of their component, or null. Null and empty texts have fingerprint zero and link like any other.
     Exact copies share a fingerprint, so they are one node; they never make pairs.
     """
-    scratch = Scratch(docs.sparkSession, "simhash")
-    rows = scratch.save(docs.select("doc_id", fingerprints("text").alias("fp")))
-    nodes = scratch.save(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = connected_components(scratch.save(links(nodes, distance)), scratch)
-    placed = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rows, groups = _groups(docs, distance)
+    placed = rows.groupBy("fp").agg(F.min("doc_id").alias("least")).join(groups, "fp")
     ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     named = placed.join(ids, "root").select("fp", "component_id")
-    out = rows.join(named, "fp")
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """docs with one row of each component: the smallest doc_id's (null last), among equal ids the smallest text hash's.
+    Texts are read where they lie; only if rows repeat in both are they shuffled, to keep one."""
+    rows, groups = _groups(docs, distance)
+    order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "h")
+    least = rows.groupBy("fp").agg(F.min(order).alias("first")).join(groups, "fp").groupBy("root").agg(F.min("first").alias("first"))
+    chosen = least.select(F.col("first.doc_id").alias("_d"), F.col("first.h").alias("_h"))
+    hashed = docs.withColumn("_text", F.xxhash64("text"))
+    out = hashed.join(chosen, hashed.doc_id.eqNullSafe(chosen._d) & (hashed._text == chosen._h), "left_semi")
+    if not rows.groupBy("doc_id", "h").count().where("count > 1").isEmpty():
+        out = out.dropDuplicates(["doc_id", "_text"])
+    return out.drop("_text")
