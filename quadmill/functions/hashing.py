@@ -9,32 +9,33 @@ from pyspark.sql import functions as F
 KEEP_PER_ZOOM = 0.4
 
 
-def _limbs(x: Column) -> list[Column]:
-    return [F.shiftrightunsigned(x, 16 * i).bitwiseAND(0xFFFF) for i in range(4)]
+def _let(value: Column, use) -> Column:
+    """use(value) with the value computed once; written out, repeated use would double the expression at every step."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
 def multiply64(x: Column, by: int) -> Column:
     """x * by modulo 2^64, from products of 16-bit limbs."""
-    a, b = _limbs(x), [by >> 16 * i & 0xFFFF for i in range(4)]
-    out, carry = None, F.lit(0).cast("long")
-    for k in range(4):
+    b = [by >> 16 * i & 0xFFFF for i in range(4)]
+
+    def step(a: list[Column], k: int, carry: Column, done: Column) -> Column:
+        if k == 4:
+            return done
         total = carry
         for i in range(k + 1):
             total = total + a[i] * b[k - i]
-        limb = F.shiftleft(total.bitwiseAND(0xFFFF), 16 * k)
-        out = limb if out is None else out.bitwiseOR(limb)
-        carry = F.shiftrightunsigned(total, 16)
-    return out
+        return _let(total, lambda t: step(a, k + 1, F.shiftrightunsigned(t, 16), done.bitwiseOR(F.shiftleft(t.bitwiseAND(0xFFFF), 16 * k))))
+
+    zero = F.lit(0).cast("long")
+    return step([F.shiftrightunsigned(x, 16 * i).bitwiseAND(0xFFFF) for i in range(4)], 0, zero, zero)
 
 
 def fmix64(x: Column) -> Column:
     """The MurmurHash3 finalizer; the result's bits as a bigint."""
-    x = x.cast("long")
-    x = x.bitwiseXOR(F.shiftrightunsigned(x, 33))
-    x = multiply64(x, 0xFF51AFD7ED558CCD)
-    x = x.bitwiseXOR(F.shiftrightunsigned(x, 33))
-    x = multiply64(x, 0xC4CEB9FE1A85EC53)
-    return x.bitwiseXOR(F.shiftrightunsigned(x, 33))
+    fold = lambda v: v.bitwiseXOR(F.shiftrightunsigned(v, 33))
+    once = lambda v: _let(multiply64(v, 0xFF51AFD7ED558CCD), lambda m: _let(fold(m), twice))
+    twice = lambda v: _let(multiply64(v, 0xC4CEB9FE1A85EC53), fold)
+    return _let(x.cast("long"), lambda v: _let(fold(v), once))
 
 
 def unit_interval(bits: Column) -> Column:
@@ -52,4 +53,4 @@ def retention_rate(z, base_zoom) -> Column:
 def keep_point(feature_id: Column, z, base_zoom) -> Column:
     """Thinning: true if the point stays at zoom z. A point that stays at some zoom stays at all higher ones."""
     rate = retention_rate(z, base_zoom)
-    return (rate >= 1.0) | (unit_interval(fmix64(feature_id)) < rate)
+    return (rate >= 1.0) | (_let(fmix64(feature_id), unit_interval) < rate)
