@@ -22,8 +22,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the paragraphs and passages that a document of smaller doc_id has; those left without a word go."""
-    out = substrings.without_repeats(docs.withColumn("_had", F.col("text").rlike(r"[^\x20\x09-\x0D]")))
-    return out.where(~F.col("_had") | F.col("text").rlike(r"[^\x20\x09-\x0D]") | F.col("text").isNull()).drop("_had")
+    had = docs.withColumn("had_words", F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return substrings.without_repeats(had).where(~F.col("had_words") | F.col("text").rlike(r"[^\x20\x09-\x0D]") | F.col("text").isNull()).drop("had_words")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

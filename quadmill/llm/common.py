@@ -23,6 +23,11 @@ def space_words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
 
 
+def own_names(df: DataFrame) -> DataFrame:
+    """df without columns whose names begin with an underscore: those are the operators' own while they work."""
+    return df.drop(*[c for c in df.columns if c.startswith("_")])
+
+
 def alnum_words(text: Column) -> Column:
     """Lower-cased runs of letters, digits and all that is not ASCII; none for null."""
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), NOT_ALNUM), "")

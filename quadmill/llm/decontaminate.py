@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, alnum_words, count_alnum_words
+from .common import Scratch, alnum_words, count_alnum_words, own_names
 
 WINDOW = 13
 SHINGLE = 5
@@ -83,9 +83,9 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, one_i
 
     contaminated: n_hit > 0 and one_in * n_hit >= n_words. Null or empty text has no words and no hits. Items that have
     no words never hit; an item with a null id hits words but isn't counted. Repeated rows are judged alike. Columns of
-    the new names are replaced, other columns stay. With no items nothing is contaminated.
+    the new names are replaced, those that begin with an underscore are left out, other columns stay. With no items nothing is contaminated.
     """
-    docs = docs.drop("n_words", "n_hit", "n_items", "items", "contaminated")
+    docs = own_names(docs).drop("n_words", "n_hit", "n_items", "items", "contaminated")
     hits, _ = find_hits(docs, items, window)
     span = F.struct("start", (F.col("start") + F.col("len")).alias("end"))
     per = hits.groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).agg(F.collect_set(span).alias("_spans"), F.collect_set(F.col("item_id").cast("string")).alias("_items"))

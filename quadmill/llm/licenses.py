@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import alnum_words, ascii_lower, count_alnum_words
+from .common import alnum_words, ascii_lower, count_alnum_words, own_names
 
 K = 3
 #: Diagonals so many words apart belong to one alignment: words were put in or left out.
@@ -102,10 +102,11 @@ def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
 
     The base: places where a phrase's words stand consecutively, counted from word 0. labels adds those of verified
     template spans; score is 1 where a phrase stands, else the best span's covered part of its template, else 0. Null
-    and empty texts have no words and no labels. Repeated rows are judged alike; columns of the new names are replaced.
+    and empty texts have no words and no labels. Repeated rows are judged alike; columns of the new names are replaced and
+    those that begin with an underscore left out.
     """
     new = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
-    docs = docs.drop(*new)
+    docs = own_names(docs).drop(*new)
     spans = alignments(docs, templates)
     per = spans.groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).agg(F.collect_set("label").alias("_more"), F.max("score").alias("_best"))
     text = F.coalesce(F.col("text"), F.lit(""))

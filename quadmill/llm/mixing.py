@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, Scratch
+from .common import Scratch, own_names
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -58,11 +58,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     takes rows from the front, and the row at the cut gives only its first words, so a source meets its target to a
     word. Rows of one source that have the same doc_id share a key and stand as one; one at the cut is shared out evenly, rounded down. A source whose texts have no word takes none. Null text has size 0; null source
     is a source of its own. Clashing columns of those names are replaced; an empty table gives no rows.
+    Columns that begin with an underscore are left out.
 
     Only keys, sizes and sources are shuffled, never texts: bins of the key range get prefix sums, those locate the cut key
     of every source, and the rows compare themselves with it.
     """
-    docs = docs.drop("size", "source_size", "target", "taken")
+    docs = own_names(docs).drop("size", "source_size", "target", "taken")
     scratch = Scratch(docs.sparkSession, "mix")
     slim = scratch.save(with_size(docs, seed).groupBy("source", "_key").agg(F.sum("_size").alias("words"), F.count("*").alias("n")))
     sources = scratch.save(targets(slim.groupBy("source").agg(F.sum("words").alias("source_size"), F.sum("n").alias("_rows")), weights, share, max_epochs).withColumn("_budget", F.round("target").cast("long")))

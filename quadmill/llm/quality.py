@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, shingle_hashes, space_words
+from .common import own_names, shingle_hashes, space_words
 
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
@@ -36,12 +36,13 @@ def ledger(docs: DataFrame) -> DataFrame:
 
     Null and empty texts have no words and fail few_words. Words stand between runs of ASCII white space. A window is
     WINDOW consecutive words; n_repeat_words counts the words inside windows that the text holds twice or more, the
-    first included. Windows are compared by a 64-bit hash of their words' hashes. Columns of the same names are replaced.
+    first included. Windows are compared by a 64-bit hash of their words' hashes. Columns of the same names are
+    replaced, and those that begin with an underscore are left out.
     No shuffle: all is computed within the row, for texts of any length in n log n.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     new = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper", "n_exclamations", "failed_bits"]
-    out = docs.drop(*new)
+    out = own_names(docs).drop(*new)
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     out = out.withColumns({"_h": F.transform(space_words(F.col("text")), lambda w: F.xxhash64(w)), "_lines": lines})
     out = out.withColumn("_w", shingle_hashes(F.col("_h"), WINDOW))

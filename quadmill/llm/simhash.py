@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import LOWER, UPPER, Scratch, connected_components
+from .common import LOWER, UPPER, Scratch, connected_components, own_names
 
 SHINGLE = 3
 DISTANCE = 3
@@ -87,6 +87,7 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
 def one_of_each(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """docs with one row of each component: the smallest doc_id's (null last), among equal ids the smallest text hash's.
     Texts are read where they lie; only if rows repeat in both are they shuffled, to keep one."""
+    docs = own_names(docs)
     rows, groups = _groups(docs, distance)
     order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "h")
     least = rows.groupBy("fp").agg(F.min(order).alias("first")).join(groups, "fp").groupBy("root").agg(F.min("first").alias("first"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .common import Scratch, connected_components
+from .common import Scratch, connected_components, own_names
 
 #: Words of the shortest paragraph or passage that counts.
 MIN_WORDS = 25
@@ -205,7 +205,8 @@ def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs whose texts lack the spans of repeats(). All rows and columns stay; texts without repeats stay as they are. A
-    column n_chars, if there is one, is brought up to date."""
+    column n_chars, if there is one, is brought up to date. Columns that begin with an underscore are left out."""
+    docs = own_names(docs)
     found = repeats(docs)
     per = found.groupBy(F.col("doc_id").alias("_d"), F.col("h").alias("_h")).agg(F.collect_list(F.struct("start", "end")).alias("_cuts"))
     out = docs.join(per, docs.doc_id.eqNullSafe(per._d) & (F.xxhash64(docs.text) == per._h), "left")

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, ascii_lower
+from .common import Scratch, ascii_lower, own_names
 
 #: 32 symbols: 0 stands before the text, 31 for all that is not listed.
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0.-/"
@@ -138,16 +138,16 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     blocked where the mean log-likelihood ratio of its characters exceeds the threshold: the score that FALSE_REJECTS of the
     held-out accepted URLs exceed, and at least 0. Null
     and unusual URLs have an empty host and path, fit no rule, have no score and are allowed. Repeated rows are judged
-    alike; columns of the new names are replaced; other columns aren't shuffled with the characters.
+    alike; columns of the new names are replaced and those that begin with an underscore left out; other columns aren't shuffled with the characters.
     """
     scratch = Scratch(pages.sparkSession, "urls")
-    rows = with_parts(pages.drop("host", "path", "rule", "verdict", "score")).withColumn("_r", rule_of(rules))
-    rows = rows.withColumns({"rule": F.col("_r.rule"), "label": F.col("_r.verdict")}).drop("_r")
+    rows = with_parts(own_names(pages).drop("host", "path", "rule", "verdict", "score")).withColumn("_r", rule_of(rules))
+    rows = rows.withColumns({"rule": F.col("_r.rule"), "_label": F.col("_r.verdict")}).drop("_r")
     rows = rows.withColumn("_text", shown(max([rule.count("/") - 1 for rule, _ in rules], default=0)))
     listed = F.arrays_overlap(F.split("host", "[.-]"), F.array(*[F.lit(x) for x in REJECTED]))
-    models = train(rows.where("host <> ''").select("_text", F.coalesce("label", F.when(listed, "block").otherwise("allow")).alias("label")), scratch)
-    score = scores(rows.where("label IS NULL").select("_text").distinct(), models.ratio, "_text").withColumnRenamed("_text", "_scored")
-    out = rows.join(score, F.when(F.col("label").isNull(), F.col("_text")) == F.col("_scored"), "left").drop("_text", "_scored")
+    models = train(rows.where("host <> ''").select("_text", F.coalesce("_label", F.when(listed, "block").otherwise("allow")).alias("label")), scratch)
+    score = scores(rows.where("_label IS NULL").select("_text").distinct(), models.ratio, "_text").withColumnRenamed("_text", "_scored")
+    out = rows.join(score, F.when(F.col("_label").isNull(), F.col("_text")) == F.col("_scored"), "left").drop("_text", "_scored")
     threshold = models.threshold.first()[0]
-    verdict = F.coalesce("label", F.when(F.col("score") > threshold, F.lit("block")).otherwise(F.lit("allow")))
-    return out.withColumn("verdict", verdict).drop("label")
+    verdict = F.coalesce("_label", F.when(F.col("score") > threshold, F.lit("block")).otherwise(F.lit("allow")))
+    return out.withColumn("verdict", verdict).drop("_label")
