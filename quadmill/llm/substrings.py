@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -17,11 +17,13 @@ from .common import Scratch, connected_components, own_names
 MIN_WORDS = 25
 SHINGLE = 5
 JACCARD = 0.8
-#: A pair of similarity JACCARD meets in one of BANDS bands of ROWS minima: 1 - (1 - 0.8 ** 3) ** 9 = 0.998.
-BANDS, ROWS = 9, 3
+#: A pair of similarity JACCARD meets in one of BANDS bands of ROWS minima: 1 - (1 - 0.8 ** 2) ** 6 = 0.998.
+BANDS, ROWS = 6, 2
+#: Paragraphs that are compared in one task at most, twice this many for two blocks of a larger group.
+BLOCK = 2_000
 #: Texts are also compared by windows of PASSAGE words, which start at the least hash of any WINNOW consecutive ones. So
 #: every shared passage of PASSAGE + WINNOW words has a window in common, whatever surrounds it.
-PASSAGE, WINNOW = 24, 9
+PASSAGE, WINNOW = 24, 12
 
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _SPACE = np.zeros(256, bool)
@@ -89,18 +91,25 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return np.asarray(x, np.uint64).view(np.int64)
 
 
-def paragraphs(text: str | None) -> list[tuple[int, int, int, int, list[int]]]:
-    """(start byte, end byte, words, hash, bands) of every line of MIN_WORDS words or more."""
-    out = []
+def _least_per_line(grams: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """(lines, BANDS * ROWS): the minima of the permuted hashes of grams[lo:hi] of each line."""
+    cuts = np.stack([lo, hi], 1).reshape(-1)
+    padded = np.r_[grams, np.uint64(0)]  # an end may be the last place
+    return np.stack([np.minimum.reduceat(padded * m + a, cuts)[::2] for m, a in zip(_MUL, _ADD)], 1)
+
+
+def paragraphs(text: str | None) -> tuple[np.ndarray, ...]:
+    """Start bytes, end bytes, words, hashes and bands (n, BANDS) of all lines of MIN_WORDS words or more."""
     t = Text(text or "")
-    for lo, hi in t.lines[t.lines[:, 1] - t.lines[:, 0] >= MIN_WORDS].tolist():
-        grams = np.unique(t.windows(lo, hi, SHINGLE))
-        with np.errstate(over="ignore"):
-            minima = np.array([(grams * m + a).min() for m, a in zip(_MUL, _ADD)], np.uint64).reshape(BANDS, ROWS)
-            bands = _mix((minima * np.array([1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)[:ROWS]).sum(1) + np.arange(BANDS, dtype=np.uint64))
-            whole = t.windows(lo, hi, hi - lo)
-        out.append((int(t.starts[lo]), int(t.ends[hi - 1]), hi - lo, int(_signed(whole)[0]), _signed(bands).tolist()))
-    return out
+    lo, hi = t.lines[t.lines[:, 1] - t.lines[:, 0] >= MIN_WORDS].T
+    if not len(lo):
+        none = np.zeros(0, np.int64)
+        return none, none, none, none.view(np.uint64), np.zeros((0, BANDS), np.uint64)
+    with np.errstate(over="ignore"):
+        least = _least_per_line(t.windows(0, len(t.hashes), SHINGLE), lo, hi - SHINGLE + 1).reshape(-1, BANDS, ROWS)
+        bands = _mix(least[:, :, 0] * _P + least[:, :, 1] + np.arange(BANDS, dtype=np.uint64))
+        keys = _spans(t.hashes, lo, hi, _WORDS)
+    return t.starts[lo], t.ends[hi - 1], hi - lo, keys, bands
 
 
 def passages(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -116,8 +125,60 @@ def passages(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _map_paragraphs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        rows = [(d, h, *p) for d, h, t in zip(b["doc_id"], b["h"], b["text"]) for p in paragraphs(t)]
-        yield pd.DataFrame(rows, columns=["doc_id", "h", "start", "end", "n", "key", "bands"])
+        found = [paragraphs(t) for t in b["text"]]
+        n = [len(f[0]) for f in found]
+        if sum(n):
+            starts, ends, words, keys, bands = (np.concatenate([f[i] for f in found]) for i in range(5))
+            yield pd.DataFrame({"doc_id": np.repeat(b["doc_id"].to_numpy(), n), "h": np.repeat(b["h"].to_numpy(), n), "start": starts, "end": ends, "n": words, "key": _signed(keys), "bands": list(_signed(bands))})
+
+
+def _map_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """From (text, parts) the sorted distinct shingle hashes of each part."""
+    for b in batches:
+        out = []
+        for text, parts in zip(b["text"], b["parts"]):
+            raw = text.encode("utf-8", "surrogatepass")
+            for p in parts:
+                t = Text(raw[p["start"] : p["end"]].decode("utf-8", "surrogatepass"))
+                out.append((p["key"], _signed(np.unique(t.windows(0, len(t.hashes), SHINGLE)))))
+        yield pd.DataFrame(out, columns=["key", "grams"])
+
+
+def _similar(a: np.ndarray, b: np.ndarray) -> bool:
+    if min(len(a), len(b)) < JACCARD * max(len(a), len(b)):
+        return False
+    met = len(np.intersect1d(a, b, assume_unique=True))
+    return met >= JACCARD * (len(a) + len(b) - met)
+
+
+def _link(rows: pd.DataFrame) -> pd.DataFrame:
+    """Edges (a, b) that connect what is connected by similar paragraphs that meet in a band, as few as that takes.
+
+    In each band's bucket the members stand by their clusters so far; a newcomer is compared with the members of every
+    cluster that it isn't in until one is similar. A large group of copies is one cluster soon, so costs little."""
+    keys, grams, bands = rows["key"].tolist(), rows["grams"].tolist(), rows["bands"].tolist()
+    parent = list(range(len(keys)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    buckets: dict[tuple[int, int], dict[int, list[int]]] = {}
+    edges = []
+    for i in range(len(keys)):
+        for band, value in enumerate(bands[i]):
+            clusters = buckets.setdefault((band, value), {})
+            for c in list(clusters):
+                if root(c) != root(i) and (j := next((j for j in clusters[c] if _similar(grams[i], grams[j])), None)) is not None:
+                    edges.append((keys[j], keys[i]))
+                    parent[root(i)] = root(j)
+            for c in list(clusters):  # clusters that have become one are put together
+                if root(c) != c:
+                    clusters.setdefault(root(c), []).extend(clusters.pop(c))
+            clusters.setdefault(root(i), []).append(i)
+    return pd.DataFrame(edges, columns=["a", "b"])
 
 
 def _map_passages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -129,27 +190,31 @@ def _map_passages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"doc_id": np.repeat(b["doc_id"].to_numpy(), n), "h": np.repeat(b["h"].to_numpy(), n), "start": starts, "end": ends, "key": _signed(keys)})
 
 
-def _word_hashes(text: Column) -> Column:
-    words = F.array_remove(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), "")
-    return F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(words) - SHINGLE), lambda i: F.xxhash64(F.slice(words, i + 1, SHINGLE))))
-
-
 def near_paragraphs(lines: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(a, b), keys of different paragraphs of Jaccard JACCARD or more on SHINGLE words. Paragraphs that meet in a band are
-    compared by their texts, one of each key; equal ones are one key and never make pairs."""
+    """(a, b), keys of different paragraphs, that connect all those of Jaccard JACCARD or more on SHINGLE words.
+
+    Equal paragraphs are one key. Keys that meet in bands form groups, by components; each key's shingles are read once
+    from one of its texts, and groups are compared exactly. Small groups share tasks; a group of more than BLOCK keys is
+    cut into blocks, and every two blocks are compared, so no group is gathered in one task and no pair is left out.
+    """
     each = scratch.save(lines.groupBy("key").agg(F.min(F.struct("doc_id", "h", "start", "end")).alias("at"), F.first("bands").alias("bands")))
     banded = each.select("key", F.posexplode("bands").alias("band", "value"))
-    a, b = banded.alias("a"), banded.alias("b")
-    pairs = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.value") == F.col("b.value")) & (F.col("a.key") < F.col("b.key")))
-    pairs = scratch.save(pairs.select(F.col("a.key").alias("a"), F.col("b.key").alias("b")).distinct())
-    wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct().join(each.select("key", "at.*"), "key")
-    wanted = wanted.groupBy(F.col("doc_id").alias("_d"), F.col("h").alias("_h")).agg(F.collect_list(F.struct("key", "start", "end")).alias("parts"))
-    texts = docs.join(wanted, docs.doc_id.eqNullSafe(wanted._d) & (docs.h == wanted._h)).dropDuplicates(["doc_id", "h"])
-    part = texts.select("text", F.explode("parts").alias("p")).select(F.col("p.key").alias("key"), F.expr("decode(substring(encode(text, 'utf-8'), p.start + 1, p.end - p.start), 'utf-8')").alias("part"))
-    part = scratch.save(part.select("key", _word_hashes(F.col("part")).alias("grams")))
-    left, right = part.select(F.col("key").alias("a"), F.col("grams").alias("x")), part.select(F.col("key").alias("b"), F.col("grams").alias("y"))
-    both = pairs.join(left, "a").join(right, "b").withColumn("met", F.size(F.array_intersect("x", "y")))
-    return both.where(F.col("met") >= JACCARD * (F.size("x") + F.size("y") - F.col("met"))).select("a", "b")
+    star = banded.withColumn("low", F.min("key").over(Window.partitionBy("band", "value"))).where("low < key")
+    groups = scratch.save(connected_components(scratch.save(star.select(F.col("low").alias("a"), F.col("key").alias("b")).distinct()), scratch))
+    members = groups.select(F.col("node").alias("key"), "root").join(each, "key")
+    wanted = members.select("key", "at.*").groupBy(F.col("doc_id").alias("_d"), F.col("h").alias("_h")).agg(F.collect_list(F.struct("key", "start", "end")).alias("parts"))
+    ids = docs.select("doc_id", "h", "text")
+    texts = ids.join(wanted, (ids.doc_id == wanted._d) & (ids.h == wanted._h)).select("text", "parts")
+    grams = scratch.save(texts.mapInPandas(_map_grams, "key long, grams array<long>")).dropDuplicates(["key"])
+    sized = members.select("key", "root", "bands")
+    place, size = F.row_number().over(Window.partitionBy("root").orderBy("key")) - 1, F.count("*").over(Window.partitionBy("root"))
+    sized = sized.withColumns({"_block": F.floor(place / BLOCK).cast("int"), "_blocks": F.ceil(size / BLOCK).cast("int")})
+    tasks = max(1, -(-groups.count() // BLOCK))
+    other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
+    dealt = sized.withColumn("_other", other).where("_blocks = 1 OR _block <> _other").withColumns({"_low": F.least("_block", "_other"), "_high": F.greatest("_block", "_other")})
+    dealt = dealt.withColumn("_task", F.when(F.col("_blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(tasks))).otherwise(F.xxhash64("root", "_low", "_high")))
+    compared = dealt.select("_task", "key", "bands").join(grams, "key")
+    return compared.groupBy("_task").applyInPandas(lambda rows: _link(rows), "a long, b long").distinct()
 
 
 def repeats(docs: DataFrame) -> DataFrame:
