@@ -74,7 +74,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float)
     dim = 1 << BITS
 
     def flat(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        return np.concatenate(texts).astype(np.int64), np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+        return np.concatenate(texts), np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) for t in texts])
 
     (pf, pt), (uf, ut) = flat(positive), flat(unlabelled)
     n_p, n_u = len(positive), len(unlabelled)
@@ -110,7 +110,7 @@ def held_out(doc_id: Column) -> Column:
 def _map_features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     remembered: dict = {}
     for b in batches:
-        yield pd.DataFrame({"positive": b["positive"], "features": [np.sort(np.fromiter(f, np.int32, len(f))) for f in (text_features(t, remembered) for t in b["text"])]})
+        yield pd.DataFrame({"positive": b["positive"], "features": [np.sort(np.fromiter(f, np.int32, len(f))).tobytes() for f in (text_features(t, remembered) for t in b["text"])]})
 
 
 def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> Classifier:
@@ -133,10 +133,10 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE,
     chosen = known.where("toxic = 1").where(share(max_positive, toxic or 0)).select("doc_id", F.lit(True).alias("positive"))
     sample = free.join(F.broadcast(chosen), "doc_id")  # max_positive ids
     sample = sample.select("text", "positive").union(free.where(share(max_unlabelled, n_free)).select("text", F.lit(False).alias("positive")))
-    rows = sample.mapInPandas(_map_features, "positive boolean, features array<int>").collect()
+    rows = sample.mapInPandas(_map_features, "positive boolean, features binary").collect()
     # In the order of their contents, so that reruns add up in the same order.
-    rows.sort(key=lambda r: (r["positive"], r["features"]))
-    of = lambda flag: [np.array(r["features"], np.int64) for r in rows if r["positive"] is flag]
+    rows.sort(key=lambda r: (r["positive"], bytes(r["features"])))
+    of = lambda flag: [np.frombuffer(r["features"], np.int32) for r in rows if r["positive"] is flag]
     return fit(of(True), of(False), prior)
 
 
