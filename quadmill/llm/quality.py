@@ -54,18 +54,19 @@ def ledger(docs: DataFrame) -> DataFrame:
     out = out.withColumn("_p", F.sort_array(F.transform(F.filter("_s", twice), lambda e: e["i"])))
     covered = F.aggregate(F.transform("_p", lambda p, i: F.least(F.lit(WINDOW), F.coalesce(F.get("_p", i + 1) - p, F.lit(WINDOW)))), F.lit(0), lambda a, x: a + x)
     spaces = "\x20\x09\x0a\x0b\x0c\x0d"
-    out = out.withColumns(
-        {
-            "n_words": F.size("_h").cast("long"),
-            "word_chars": F.length(F.translate(text, spaces, "")).cast("long"),
-            "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
-            "n_lines": F.size("_lines").cast("long"),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "n_repeat_words": F.coalesce(covered, F.lit(0)).cast("long"),
-            "n_upper": F.regexp_count(text, F.lit(r"\p{Lu}")).cast("long"),
-            "n_exclamations": F.regexp_count(text, F.lit("!")).cast("long"),
-        }
-    ).drop("_h", "_lines", "_w", "_s", "_p")
+    measured = F.struct(
+        F.size("_h").cast("long").alias("n_words"),
+        F.length(F.translate(text, spaces, "")).cast("long").alias("word_chars"),
+        (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.size("_lines").cast("long").alias("n_lines"),
+        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
+        F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
+        F.regexp_count(text, F.lit(r"\p{Lu}")).cast("long").alias("n_upper"),
+        F.regexp_count(text, F.lit("!")).cast("long").alias("n_exclamations"),
+    )
+    # Generated, so that a filter on the results stays above and does not measure texts again for every rule it reads.
+    kept = [c for c in out.columns if not c.startswith("_")]
+    out = out.select(*[F.col(f"`{c}`") for c in kept], F.explode_outer(F.array(measured)).alias("_m")).select(*[F.col(f"`{c}`") for c in kept], "_m.*")
     bits = [F.when(F.expr(rule), F.lit(1 << i)).otherwise(F.lit(0)) for i, (_, rule) in enumerate(RULES)]
     return out.withColumn("failed_bits", sum(bits[1:], bits[0]).cast("long"))
 

@@ -46,11 +46,11 @@ def fingerprints(texts: pd.Series) -> pd.Series:
 def links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """Pairs (a, b), a < b, of different fingerprints of column fp that differ in `distance` bits at most.
 
-    The 64 bits are cut into (distance + 1) // 2 segments, so that one of them differs in one bit at most: with 3 bits,
+    The 64 bits are cut into distance // 2 + 1 segments, so that one of them differs in one bit at most: with 3 bits,
     two segments of 32. Each fingerprint is indexed under every variant of each segment with one bit left out; two of them
     are close enough only if they meet in a variant. Keys are (segment, bit, value); the join keeps verified pairs alone.
     """
-    n = max(1, (distance + 1) // 2)
+    n = distance // 2 + 1
     edges = [64 * i // n for i in range(n + 1)]
     variants = [(lo, hi, bit) for lo, hi in zip(edges, edges[1:]) for bit in range(lo, hi)]
     masks = [((1 << hi) - (1 << lo)) & ~(1 << bit) for lo, hi, bit in variants]

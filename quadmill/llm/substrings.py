@@ -123,8 +123,14 @@ def passages(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return t.starts[at], t.ends[at + PASSAGE - 1], h[at]
 
 
-def _map_paragraphs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _slices(batches: Iterator[pd.DataFrame], n: int = 1_000) -> Iterator[pd.DataFrame]:
     for b in batches:
+        for i in range(0, len(b), n):
+            yield b.iloc[i : i + n]
+
+
+def _map_paragraphs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in _slices(batches):
         found = [paragraphs(t) for t in b["text"]]
         n = [len(f[0]) for f in found]
         if sum(n):
@@ -134,7 +140,7 @@ def _map_paragraphs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _map_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """From (text, parts) the sorted distinct shingle hashes of each part."""
-    for b in batches:
+    for b in _slices(batches):
         out = []
         for text, parts in zip(b["text"], b["parts"]):
             raw = text.encode("utf-8", "surrogatepass")
@@ -182,7 +188,7 @@ def _link(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _map_passages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
+    for b in _slices(batches):
         found = [passages(t) for t in b["text"]]
         n = [len(k) for _, _, k in found]
         if sum(n):

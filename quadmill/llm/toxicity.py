@@ -23,7 +23,7 @@ STEPS, RATE, L2 = 300, 0.05, 5e-4
 PRIOR = 0.1
 _WORD = re.compile(r"[^\W\d_]+")
 #: Words whose features a worker remembers.
-_REMEMBER = 500_000
+_REMEMBER = 200_000
 
 
 def word_features(word: str) -> tuple[int, ...]:
