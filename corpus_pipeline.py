@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadmill.llm import decontaminate, mixing, simhash, substrings, toxicity
-from quadmill.llm.common import Scratch
+from quadmill.llm.common import Scratch, cleared
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +53,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     last = None
     for _, stage in STAGES:
-        out = scratch.save(stage(spark, docs, sf_dir))
+        with cleared():
+            out = scratch.save(stage(spark, docs, sf_dir))
         if last is not None:
             scratch.drop(last)
         docs = last = out

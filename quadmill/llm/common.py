@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,13 +62,19 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+_made: ContextVar[list | None] = ContextVar("scratch", default=None)
+
+
 class Scratch:
-    """Tables of one run in the shared folder. They cut lineage and outlive executors."""
+    """Tables of one run in the shared folder. They cut lineage and outlive executors. What an operator returns may read
+    them, so they stay until the caller's cleared() ends, or the folder's owner clears it."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self.n = 0
+        if (made := _made.get()) is not None:
+            made.append(self)
 
     def save(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -75,10 +84,28 @@ class Scratch:
         out.scratch_path = path
         return out
 
-    def drop(self, df: DataFrame) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+    def _delete(self, where: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(where)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def drop(self, df: DataFrame) -> None:
+        self._delete(df.scratch_path)
+
+    def clear(self) -> None:
+        self._delete(self.root)
+
+
+@contextmanager
+def cleared() -> Iterator[None]:
+    """Removes at its end all tables that operators made within it: write what they return before."""
+    token = _made.set([])
+    try:
+        yield
+    finally:
+        for s in _made.get():
+            s.clear()
+        _made.reset(token)
+
 
 def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> DataFrame:
     """(node, root) of every node of edges (a, b): root is the component's smallest node.

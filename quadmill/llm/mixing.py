@@ -86,7 +86,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     inside = keyed.join(cut_bin, keyed.source.eqNullSafe(cut_bin._s) & (F.col("bin") == F.col("_b")))
     run = F.coalesce(F.sum("words").over(Window.partitionBy("source", "bin").orderBy("_key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     cuts = inside.withColumn("_start", F.col("before") + run).where("_start <= _rest AND _rest < _start + words")
-    cuts = cuts.select("_s", F.col("_key").alias("_cut"), ((F.col("_rest") - F.col("_start")) / F.col("words")).alias("_part"), F.expr("(_rest - _start)").alias("_more"), F.col("words").alias("_of"), F.col("n").alias("_n"))
+    cuts = cuts.select("_s", F.col("_key").alias("_cut"), F.expr("(_rest - _start)").alias("_more"), F.col("words").alias("_of"), F.col("n").alias("_n"))
     plan = scratch.save(plan.join(cuts, plan.source.eqNullSafe(F.col("_s")), "left").select(F.col("source").alias("_src"), "source_size", "target", "_epochs", "_cut", "_more", "_of", "_n"))
     scratch.drop(slim)
     scratch.drop(sources)
