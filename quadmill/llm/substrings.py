@@ -188,12 +188,19 @@ def _link(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _map_passages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in _slices(batches):
+    """Windows of each text. Of equal windows in a batch only the first document's has to meet the others'; the rest repeat
+    it in any case, and are `settled`. So a passage that many documents share is one row of each batch when it is shuffled."""
+    for b in _slices(batches, 4_000):
         found = [passages(t) for t in b["text"]]
         n = [len(k) for _, _, k in found]
         if sum(n):
             starts, ends, keys = (np.concatenate([f[i] for f in found]) for i in range(3))
-            yield pd.DataFrame({"doc_id": np.repeat(b["doc_id"].to_numpy(), n), "h": np.repeat(b["h"].to_numpy(), n), "start": starts, "end": ends, "key": _signed(keys)})
+            keys, ids = _signed(keys), np.repeat(b["doc_id"].to_numpy(), n)
+            order = np.lexsort((ids, keys))
+            new = np.r_[True, keys[order][1:] != keys[order][:-1]]
+            first = np.empty_like(ids)
+            first[order] = ids[order][new][np.cumsum(new) - 1]
+            yield pd.DataFrame({"doc_id": ids, "h": np.repeat(b["h"].to_numpy(), n), "start": starts, "end": ends, "key": keys, "known": first, "settled": ids > first})
 
 
 def near_paragraphs(lines: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -225,7 +232,7 @@ def near_paragraphs(lines: DataFrame, docs: DataFrame, scratch: Scratch) -> Data
 
 def repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, h, first_doc_id, start, end): byte spans of texts that repeat what an earlier document has, h the text's
-    hash. Earlier is the smaller doc_id.
+    hash. Earlier is the smaller doc_id; first_doc_id is an earlier document that has it, for paragraphs the first.
 
     Paragraphs are lines of MIN_WORDS words or more; those linked by Jaccard form components, and of each component all
     but the documents that come first (the smallest doc_id, null last) lose the paragraph. Passages repeat word for word.
@@ -245,8 +252,10 @@ def repeats(docs: DataFrame) -> DataFrame:
     named = placed.join(first.where("first_doc_id < last"), "root").select("key", "first_doc_id")
     whole = lines.join(named, "key").where("doc_id > first_doc_id").select("doc_id", "h", "first_doc_id", "start", "end")
 
-    windows = slim.mapInPandas(_map_passages, "doc_id long, h long, start int, end int, key long")
-    windows = windows.withColumn("first_doc_id", F.min("doc_id").over(Window.partitionBy("key")))
+    windows = slim.mapInPandas(_map_passages, "doc_id long, h long, start int, end int, key long, known long, settled boolean")
+    spread = F.when(F.col("settled"), F.xxhash64("doc_id", "start"))  # settled rows need no meeting
+    least = F.min("doc_id").over(Window.partitionBy("key", "spread"))
+    windows = windows.withColumn("spread", spread).withColumn("first_doc_id", F.when(F.col("settled"), F.col("known")).otherwise(least))
     inner = windows.where("doc_id > first_doc_id").select("doc_id", "h", "first_doc_id", "start", "end")
     found = whole.union(inner)
 
