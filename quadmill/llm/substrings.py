@@ -20,7 +20,7 @@ JACCARD = 0.8
 #: A pair of similarity JACCARD meets in one of BANDS bands of ROWS minima: 1 - (1 - 0.8 ** 2) ** 6 = 0.998.
 BANDS, ROWS = 6, 2
 #: Paragraphs that are compared in one task at most, twice this many for two blocks of a larger group.
-BLOCK = 2_000
+BLOCK = 500
 #: Texts are also compared by windows of PASSAGE words, which start at the least hash of any WINNOW consecutive ones. So
 #: every shared passage of PASSAGE + WINNOW words has a window in common, whatever surrounds it.
 PASSAGE, WINNOW = 24, 12
