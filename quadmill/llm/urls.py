@@ -147,7 +147,9 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     listed = F.arrays_overlap(F.split("host", "[.-]"), F.array(*[F.lit(x) for x in REJECTED]))
     models = train(rows.where("host <> ''").select("_text", F.coalesce("_label", F.when(listed, "block").otherwise("allow")).alias("label")), scratch)
     score = scores(rows.where("_label IS NULL").select("_text").distinct(), models.ratio, "_text").withColumnRenamed("_text", "_scored")
-    out = rows.join(score, F.when(F.col("_label").isNull(), F.col("_text")) == F.col("_scored"), "left").drop("_text", "_scored")
+    # Decided rows need no score; their keys match none and differ, so that they don't meet in one task.
+    key = F.when(F.col("_label").isNull(), F.col("_text")).otherwise(F.concat(F.lit("\0"), F.xxhash64("url").cast("string")))
+    out = rows.join(score, key == F.col("_scored"), "left").drop("_text", "_scored")
     threshold = models.threshold.first()[0]
     verdict = F.coalesce("_label", F.when(F.col("score") > threshold, F.lit("block")).otherwise(F.lit("allow")))
     return out.withColumn("verdict", verdict).drop("_label")
