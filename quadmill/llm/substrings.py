@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -22,8 +22,8 @@ BANDS, ROWS = 6, 2
 #: Paragraphs that are compared in one task at most, twice this many for two blocks of a larger group.
 BLOCK = 500
 #: Texts are also compared by windows of PASSAGE words, which start at the least hash of any WINNOW consecutive ones. So
-#: every shared passage of PASSAGE + WINNOW words has a window in common, whatever surrounds it.
-PASSAGE, WINNOW = 24, 12
+#: every shared passage of PASSAGE + WINNOW - 1 words has a window in common, whatever surrounds it; extended() finds its ends.
+PASSAGE, WINNOW = 24, 9
 
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _SPACE = np.zeros(256, bool)
@@ -198,9 +198,23 @@ def _map_passages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             keys, ids = _signed(keys), np.repeat(b["doc_id"].to_numpy(), n)
             order = np.lexsort((ids, keys))
             new = np.r_[True, keys[order][1:] != keys[order][:-1]]
-            first = np.empty_like(ids)
-            first[order] = ids[order][new][np.cumsum(new) - 1]
-            yield pd.DataFrame({"doc_id": ids, "h": np.repeat(b["h"].to_numpy(), n), "start": starts, "end": ends, "key": keys, "known": first, "settled": ids > first})
+            first = np.empty_like(order)
+            first[order] = order[new][np.cumsum(new) - 1]
+            hashes = np.repeat(b["h"].to_numpy(), n)
+            yield pd.DataFrame({"doc_id": ids, "h": hashes, "start": starts, "end": ends, "key": keys, "known": ids[first], "known_h": hashes[first], "known_start": starts[first], "settled": ids > ids[first]})
+
+
+def _map_sides(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of the windows that start at the given bytes the WINNOW - 1 words on each side, the nearest first: hashes, and bytes
+    where a span that takes them in begins or ends."""
+    for b in _slices(batches):
+        out = []
+        for d, h, text, places in zip(b["doc_id"], b["h"], b["text"], b["places"]):
+            t = Text(text)
+            for at, i in zip(places, np.searchsorted(t.starts, places)):
+                left, right = slice(max(0, i - WINNOW + 1), i), slice(i + PASSAGE, i + PASSAGE + WINNOW - 1)
+                out.append((d, h, at, _signed(t.hashes[left])[::-1], t.starts[left][::-1], _signed(t.hashes[right]), t.ends[right]))
+        yield pd.DataFrame(out, columns=["doc_id", "h", "at", "left", "left_at", "right", "right_at"])
 
 
 def near_paragraphs(lines: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -230,6 +244,40 @@ def near_paragraphs(lines: DataFrame, docs: DataFrame, scratch: Scratch) -> Data
     return compared.groupBy("_task").applyInPandas(lambda rows: _link(rows), "a long, b long").distinct()
 
 
+def _with_runs(spans: DataFrame) -> DataFrame:
+    """spans with run, a number that overlapping and adjoining spans of a text share."""
+    before = Window.partitionBy("doc_id", "h").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.withColumn("new", F.when(F.coalesce(F.max("end").over(before), F.lit(-2)) + 1 >= F.col("start"), 0).otherwise(1))
+    run = Window.partitionBy("doc_id", "h").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0)
+    return spans.withColumn("run", F.sum("new").over(run))
+
+
+def extended(hits: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(doc_id, h, first_doc_id, start, end): runs of hits, and their outermost windows with the words on both sides that
+    the first document has there too. Were WINNOW more words alike, another window among them would be in the run."""
+    outer = _with_runs(hits).groupBy("doc_id", "h", "run", F.col("first.doc_id").alias("first_doc_id"), F.col("first.h").alias("first_h"))
+    window = F.struct("start", "end", F.col("first.start").alias("first_at"))
+    outer = scratch.save(outer.agg(F.min(window).alias("lo"), F.max(window).alias("hi")))
+    edges = outer.select("doc_id", "h", "first_doc_id", "first_h", F.explode(F.array("lo", "hi")).alias("w")).select("doc_id", "h", "first_doc_id", "first_h", "w.*").distinct()
+    wanted = edges.select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), F.col("start").alias("at")).union(edges.select("first_doc_id", "first_h", "first_at"))
+    wanted = wanted.groupBy("_d", "_h").agg(F.collect_set("at").alias("places"))
+    ids = docs.select("doc_id", "h", "text")
+    texts = ids.join(wanted, (ids.doc_id == wanted._d) & (ids.h == wanted._h)).select("doc_id", "h", "text", "places")
+    sides = texts.mapInPandas(_map_sides, "doc_id long, h long, at int, left array<long>, left_at array<int>, right array<long>, right_at array<int>")
+    sides = scratch.save(sides).dropDuplicates(["doc_id", "h", "at"])
+    firsts = sides.select(F.col("doc_id").alias("first_doc_id"), F.col("h").alias("first_h"), F.col("at").alias("first_at"), F.col("left").alias("first_left"), F.col("right").alias("first_right"))
+    both = edges.join(sides.withColumnRenamed("at", "start"), ["doc_id", "h", "start"]).join(firsts, ["first_doc_id", "first_h", "first_at"])
+
+    def end(side: str, otherwise: str) -> Column:
+        alike = F.zip_with(side, f"first_{side}", lambda a, b: F.coalesce(a == b, F.lit(False)))
+        differs = F.array_position(alike, False)
+        last = F.when(differs > 0, differs - 1).otherwise(F.size(alike)).cast("int") - 1
+        return F.when(last >= 0, F.get(f"{side}_at", last)).otherwise(F.col(otherwise)).alias(otherwise)
+
+    runs = outer.select("doc_id", "h", "first_doc_id", "lo.start", "hi.end")
+    return runs.union(both.select("doc_id", "h", "first_doc_id", end("left", "start"), end("right", "end")))
+
+
 def repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, h, first_doc_id, start, end): byte spans of texts that repeat what an earlier document has, h the text's
     hash. Earlier is the smaller doc_id; first_doc_id is an earlier document that has it, for paragraphs the first.
@@ -252,17 +300,13 @@ def repeats(docs: DataFrame) -> DataFrame:
     named = placed.join(first.where("first_doc_id < last"), "root").select("key", "first_doc_id")
     whole = lines.join(named, "key").where("doc_id > first_doc_id").select("doc_id", "h", "first_doc_id", "start", "end")
 
-    windows = slim.mapInPandas(_map_passages, "doc_id long, h long, start int, end int, key long, known long, settled boolean")
+    windows = slim.mapInPandas(_map_passages, "doc_id long, h long, start int, end int, key long, known long, known_h long, known_start int, settled boolean")
     spread = F.when(F.col("settled"), F.xxhash64("doc_id", "start"))  # settled rows need no meeting
-    least = F.min("doc_id").over(Window.partitionBy("key", "spread"))
-    windows = windows.withColumn("spread", spread).withColumn("first_doc_id", F.when(F.col("settled"), F.col("known")).otherwise(least))
-    inner = windows.where("doc_id > first_doc_id").select("doc_id", "h", "first_doc_id", "start", "end")
-    found = whole.union(inner)
-
-    before = Window.partitionBy("doc_id", "h").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
-    found = found.withColumn("new", F.when(F.coalesce(F.max("end").over(before), F.lit(-2)) + 1 >= F.col("start"), 0).otherwise(1))
-    run = Window.partitionBy("doc_id", "h").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0)
-    merged = found.withColumn("run", F.sum("new").over(run)).groupBy("doc_id", "h", "run").agg(F.min("first_doc_id").alias("first_doc_id"), F.min("start").alias("start"), F.max("end").alias("end"))
+    least = F.min(F.struct("doc_id", "h", "start")).over(Window.partitionBy("key", "spread"))
+    known = F.struct(F.col("known").alias("doc_id"), F.col("known_h").alias("h"), F.col("known_start").alias("start"))
+    windows = windows.withColumn("spread", spread).withColumn("first", F.when(F.col("settled"), known).otherwise(least))
+    inner = extended(windows.where("doc_id > first.doc_id").select("doc_id", "h", "first", "start", "end"), slim, scratch)
+    merged = _with_runs(whole.union(inner)).groupBy("doc_id", "h", "run").agg(F.min("first_doc_id").alias("first_doc_id"), F.min("start").alias("start"), F.max("end").alias("end"))
     null = lambda c: F.when(F.col(c) < (1 << 63) - 1, F.col(c)).alias(c)
     return merged.select(null("doc_id"), "h", "first_doc_id", "start", "end")
 

@@ -255,6 +255,20 @@ def test_large_groups_are_compared_in_blocks(spark, monkeypatch):
     assert {(r.doc_id, r.first_doc_id) for r in whole} == {(i, 0) for i in range(1, 40)}
 
 
+def test_passages_go_to_their_last_word(spark):
+    rng = random.Random(9)
+    rows, want = [], set()
+    for i in range(60):  # 32 words are the shortest that are sure of a window
+        n = 32 + i % 20
+        passage = " ".join(words_of(rng, n))
+        for d in (2 * i, 2 * i + 1):
+            before, after = " ".join(words_of(rng, 20) + [f"a{d}"]), " ".join([f"z{d}"] + words_of(rng, 20))
+            rows.append((d, f"{before} {passage if d % 2 else passage.upper()} {after}"))
+        want.add((2 * i + 1, 2 * i, len(before) + 1, len(before) + 1 + len(passage)))
+    found = substrings.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.first_doc_id, r.start, r.end) for r in found} == want
+
+
 def test_paragraph_recall_and_hashes():
     rng = random.Random(7)
     met = 0
