@@ -447,7 +447,7 @@ def mixed_features(spark: SparkSession, d: str) -> DataFrame:
 
     shape = "geometry binary, kind string, num long, value double"
     p = points(spark, d).select("event_id", "lng", "lat", "value").mapInPandas(point_wkb, shape)
-    b = boxes(spark, d).where("event_id % 10 = 0")
+    b = boxes(spark, d)
     b = box_wkb(b.withColumns({k: F.col(k) + (F.col(c) - F.col(k)) * -20 for k, c in (("xmin", "lng"), ("xmax", "lng"), ("ymin", "lat"), ("ymax", "lat"))}))
     b = b.select(F.col("wkb").alias("geometry"), F.lit("box").alias("kind"), F.col("event_id").alias("num"), F.lit(None).cast("double").alias("value"))
     x = line_wkb(spark, d).select(F.col("wkb").alias("geometry"), F.lit("line").alias("kind"), F.col("user_id").alias("num"), F.lit(None).cast("double").alias("value"))
