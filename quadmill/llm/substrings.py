@@ -13,8 +13,9 @@ from pyspark.sql.types import StringType
 
 from .common import Scratch, connected_components, own_names
 
-#: Words of the shortest paragraph or passage that counts.
+#: Lines of fewer words count as short: runs of them are paragraphs too.
 MIN_WORDS = 25
+#: Words of a shingle, and so of the shortest paragraph that counts.
 SHINGLE = 5
 JACCARD = 0.8
 #: A pair of similarity JACCARD meets in one of BANDS bands of ROWS minima: 1 - (1 - 0.8 ** 2) ** 6 = 0.998.
@@ -77,8 +78,27 @@ class Text:
         with np.errstate(over="ignore"):
             self.hashes = _spans(_LOWER[raw] + np.uint64(1), self.starts, self.ends, _BYTES)
         breaks = np.flatnonzero(raw == 10)
-        first = np.unique(np.r_[0, np.searchsorted(self.starts, breaks)])
+        at, n = np.unique(np.searchsorted(self.starts, breaks), return_counts=True)
+        first = np.unique(np.r_[0, at])
         self.lines = np.stack([first, np.r_[first[1:], len(self.starts)]], 1)
+        self.after_blank = np.isin(first, at[n > 1])
+
+    def units(self) -> np.ndarray:
+        """Lines as word spans, and after them the other spans that count as one: lines up to a blank one, and runs of lines
+        of fewer than MIN_WORDS words. None of fewer than SHINGLE words."""
+        lo, hi = self.lines.T
+        short = hi - lo < MIN_WORDS
+        turns = self.after_blank | np.r_[True, short[1:] != short[:-1]]
+        parts = []
+        for new, fits in ((self.after_blank, np.ones(len(lo), bool)), (turns, short)):
+            at = np.unique(np.r_[0, np.flatnonzero(new)])
+            end = np.r_[at[1:], len(lo)]
+            many = (end - at > 1) & fits[at]
+            parts.append(np.stack([lo[at[many]], hi[end[many] - 1]], 1))
+        more = np.unique(np.concatenate(parts), axis=0)
+        more = more[more[:, 1] != hi[np.searchsorted(lo, more[:, 0])]]  # a line and empty ones
+        found = np.concatenate([self.lines, more])
+        return found[found[:, 1] - found[:, 0] >= SHINGLE]
 
     def windows(self, lo: int, hi: int, k: int) -> np.ndarray:
         """Hashes of all k consecutive words of words[lo:hi]."""
@@ -99,9 +119,9 @@ def _least_per_line(grams: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.nda
 
 
 def paragraphs(text: str | None) -> tuple[np.ndarray, ...]:
-    """Start bytes, end bytes, words, hashes and bands (n, BANDS) of all lines of MIN_WORDS words or more."""
+    """Start bytes, end bytes, words, hashes and bands (n, BANDS) of all units."""
     t = Text(text or "")
-    lo, hi = t.lines[t.lines[:, 1] - t.lines[:, 0] >= MIN_WORDS].T
+    lo, hi = t.units().T
     if not len(lo):
         none = np.zeros(0, np.int64)
         return none, none, none, none.view(np.uint64), np.zeros((0, BANDS), np.uint64)
@@ -218,16 +238,20 @@ def _map_sides(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def near_paragraphs(lines: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(a, b), keys of different paragraphs, that connect all those of Jaccard JACCARD or more on SHINGLE words.
+    """(a, b), keys of different paragraphs, that connect all those of Jaccard JACCARD or more on SHINGLE words
+    in groups of more than one document.
 
     Equal paragraphs are one key. Keys that meet in bands form groups, by components; each key's shingles are read once
     from one of its texts, and groups are compared exactly. Small groups share tasks; a group of more than BLOCK keys is
     cut into blocks, and every two blocks are compared, so no group is gathered in one task and no pair is left out.
     """
-    each = scratch.save(lines.groupBy("key").agg(F.min(F.struct("doc_id", "h", "start", "end")).alias("at"), F.first("bands").alias("bands")))
+    each = scratch.save(lines.groupBy("key").agg(F.min(F.struct("doc_id", "h", "start", "end")).alias("at"), F.max("doc_id").alias("high"), F.first("bands").alias("bands")))
     banded = each.select("key", F.posexplode("bands").alias("band", "value"))
     star = banded.withColumn("low", F.min("key").over(Window.partitionBy("band", "value"))).where("low < key")
-    groups = scratch.save(connected_components(scratch.save(star.select(F.col("low").alias("a"), F.col("key").alias("b")).distinct()), scratch))
+    groups = connected_components(scratch.save(star.select(F.col("low").alias("a"), F.col("key").alias("b")).distinct()), scratch)
+    # Groups inside one document repeat nothing: a unit and the line that is most of it, say.
+    shared = groups.join(each, groups.node == each.key).groupBy("root").agg(F.min("at.doc_id").alias("low"), F.max("high").alias("high")).where("low < high")
+    groups = scratch.save(groups.join(shared.select("root"), "root").select("node", "root"))
     members = groups.select(F.col("node").alias("key"), "root").join(each, "key")
     wanted = members.select("key", "at.*").groupBy(F.col("doc_id").alias("_d"), F.col("h").alias("_h")).agg(F.collect_list(F.struct("key", "start", "end")).alias("parts"))
     ids = docs.select("doc_id", "h", "text")
@@ -282,7 +306,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, h, first_doc_id, start, end): byte spans of texts that repeat what an earlier document has, h the text's
     hash. Earlier is the smaller doc_id; first_doc_id is an earlier document that has it, for paragraphs the first.
 
-    Paragraphs are lines of MIN_WORDS words or more; those linked by Jaccard form components, and of each component all
+    Paragraphs are the units() of a text, its lines first of all; those linked by Jaccard form components, and of each component all
     but the documents that come first (the smallest doc_id, null last) lose the paragraph. Passages repeat word for word.
     Repeats inside one document are left. Rows with null doc_id come last and are cleared like any other; null and
     empty texts have no spans; rows of one doc_id are one document.

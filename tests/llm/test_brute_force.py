@@ -269,6 +269,18 @@ def test_passages_go_to_their_last_word(spark):
     assert {(r.doc_id, r.first_doc_id, r.start, r.end) for r in found} == want
 
 
+def test_short_lines_and_what_they_make_up_count(spark):
+    rng = random.Random(10)
+    line, wrapped = " ".join(words_of(rng, 10)), words_of(rng, 60)
+    other = list(wrapped)
+    other[30] = "changed"
+    wrap = lambda w: "\n".join(" ".join(w[i : i + 12]) for i in range(0, 60, 12))
+    prose = lambda: " ".join(words_of(rng, 30))
+    rows = [(1, f"{prose()}\n{line}\n{prose()}"), (2, f"{prose()}\n\n{line}\n{prose()}"), (3, f"{prose()}\n\n{wrap(wrapped)}\n\n{prose()}"), (4, f"{prose()}\n{wrap(other)}\n{prose()}"), (5, f"{prose()}\n{' '.join(wrapped)}")]
+    cut = {r.doc_id: dict(rows)[r.doc_id].encode()[r.start : r.end].decode() for r in substrings.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert cut == {2: line, 4: wrap(other), 5: " ".join(wrapped)}
+
+
 def test_paragraph_recall_and_hashes():
     rng = random.Random(7)
     met = 0
