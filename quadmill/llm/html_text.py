@@ -12,8 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-#: Elements whose contents are no text. The parser passes over them to their end tag.
-RAW = ("script", "style", "noscript", "template", "iframe", "object", "svg", "canvas", "select", "textarea", "button", "title", "datalist", "audio", "video")
+#: Elements whose contents are no text. The parser passes over them to their end tag; without one only CODE goes on to the
+#: page's end. Of NESTING the first end tag is taken, of FLAT one that no further start tag precedes.
+CODE = ("script", "style")
+NESTING = ("template", "object", "svg")
+FLAT = ("noscript", "iframe", "canvas", "select", "textarea", "button", "title", "datalist", "audio", "video")
 #: Elements that do not end a block.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -26,7 +29,9 @@ INSIDE = frozenset("article main".split())
 INSIDE_WORDS = frozenset("article main content entry post story articlebody".split())
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b(?P<rawattrs>[^>]*)(?:>.*?(?:</(?P=raw)\s*>|\Z)|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(?P<code>" + "|".join(CODE) + r")\b[^>]*(?:>.*?(?:</(?P=code)\s*>|\Z)|\Z)"
+    r"|<(?P<nesting>" + "|".join(NESTING) + r")\b[^>]*(?:(?<=/)>|>.*?</(?P=nesting)\s*>|>|\Z)"
+    r"|<(?P<flat>" + "|".join(FLAT) + r")\b[^>]*(?:(?<=/)>|>(?:(?!<(?P=flat)\b).)*?</(?P=flat)\s*>|>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
     re.I | re.S,
 )

@@ -331,6 +331,14 @@ def test_given_pages(spark):
         assert html_text.main_text(r.html) == "\n".join(b for b in blocks if b)
 
 
+@pytest.mark.parametrize("raw", ["<svg width='9'/>", "<video src=x />", "<button>", "<button><button>No</button>", "<object data=x>", "<select><option>", "<svg><path/></svg>"])
+def test_unclosed_elements_do_not_swallow_the_article(raw):
+    before, after = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    got = html_text.main_text(f"<article><p>{before}</p>{raw}<p>{after}</p></article>")
+    assert before in got and after in got
+
+
+
 # --- 6 quality -------------------------------------------------------------------------------------------------------
 
 
