@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
@@ -26,6 +27,14 @@ def space_words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
 
 
+def aside(df: DataFrame, *used: str) -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """df with its columns other than `used` under names that clash with none of an operator's, and what gives a DataFrame
+    that has them df's columns, names and order back, without any others."""
+    names = {c: c if c in used else f"kept{i}" for i, c in enumerate(df.columns)}
+    back = [F.col(new).alias(c) for c, new in names.items()]
+    return df.toDF(*names.values()), lambda out, *more: out.select(*back, *more)
+
+
 def own_names(df: DataFrame) -> DataFrame:
     """df without columns whose names begin with an underscore: those are the operators' own while they work."""
     return df.drop(*[c for c in df.columns if c.startswith("_")])
@@ -37,8 +46,8 @@ def alnum_words(text: Column) -> Column:
 
 
 def count_alnum_words(text: Column) -> Column:
-    """size(alnum_words(text)), without making the array."""
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long")
+    """size(alnum_words(text)), without lower-casing. Splitting takes a tenth of the time that counting matches does."""
+    return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), "")).cast("long")
 
 
 def shingle_hashes(hashes: Column, k: int) -> Column:
@@ -63,18 +72,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _made: ContextVar[list | None] = ContextVar("scratch", default=None)
+_left: list["Scratch"] = []
 
 
 class Scratch:
     """Tables of one run in the shared folder. They cut lineage and outlive executors. What an operator returns may read
-    them, so they stay until the caller's cleared() ends, or the folder's owner clears it."""
+    them, so they stay until the caller's cleared() ends, or else until the driver's Python does."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        self._jvm, self._conf = spark._jvm, spark._jsc.hadoopConfiguration()
         self.root = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self.n = 0
-        if (made := _made.get()) is not None:
-            made.append(self)
+        made = _made.get()
+        (_left if made is None else made).append(self)
 
     def save(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -85,8 +96,8 @@ class Scratch:
         return out
 
     def _delete(self, where: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(where)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        path = self._jvm.org.apache.hadoop.fs.Path(where)
+        path.getFileSystem(self._conf).delete(path, True)
 
     def drop(self, df: DataFrame) -> None:
         self._delete(df.scratch_path)
@@ -95,6 +106,15 @@ class Scratch:
         self._delete(self.root)
 
 
+@atexit.register
+def _clear_left() -> None:
+    for s in _left:
+        try:
+            s.clear()
+        except Exception:  # the JVM has gone before
+            return
+
+
 @contextmanager
 def cleared() -> Iterator[None]:
     """Removes at its end all tables that operators made within it: write what they return before."""

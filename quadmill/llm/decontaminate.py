@@ -9,63 +9,69 @@ from .common import Scratch, alnum_words, count_alnum_words, own_names
 
 WINDOW = 13
 SHINGLE = 5
-#: Up to so many distinct shingles of the benchmark are broadcast (some 40 bytes each); more are joined by shuffle.
-BROADCAST_SHINGLES = 2_000_000
+#: Up to so many distinct keys of shingles or prefixes are broadcast (some 40 bytes each); more are joined by shuffle.
+BROADCAST_KEYS = 2_000_000
+#: Up to so many texts' hits are broadcast where they meet the documents again; more are joined by shuffle.
+BROADCAST_HITS = 100_000
 
 
-def gram_key(words: Column, at: Column, k: int) -> Column:
-    return F.xxhash64(*[F.get(words, at + j) for j in range(k)])
+def gram_key(hashes: Column, at: Column, k: int) -> Column:
+    """A key of k consecutive word hashes."""
+    return F.xxhash64(*[F.get(hashes, at + j) for j in range(k)])
+
+
+def word_hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
 
 
 def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(item_id, win, len, k): every window of `window` consecutive words of each item, shorter items as one window, and
-    the shingle length that serves it. Items without words have none."""
+    """(item_id, win, hashes, len, k): every window of `window` consecutive words of each item, shorter items as one window,
+    the hashes of its words, and the shingle length that serves it. Items without words have none."""
     words = items.select("item_id", alnum_words(F.col("text")).alias("words")).where(F.size("words") > 0)
     n = F.least(F.size("words"), F.lit(window))
     out = words.select("item_id", "words", n.alias("len"), F.explode(F.sequence(F.lit(0), F.size("words") - n)).alias("at"))
-    return out.select("item_id", F.slice("words", F.col("at") + 1, F.col("len")).alias("win"), "len", F.least(F.col("len"), F.lit(SHINGLE)).alias("k")).distinct()
+    out = out.select("item_id", F.slice("words", F.col("at") + 1, F.col("len")).alias("win"), "len", F.least(F.col("len"), F.lit(SHINGLE)).alias("k")).distinct()
+    return out.withColumn("hashes", word_hashes(F.col("win")))
 
 
-def window_shingles(windows: DataFrame, k: int) -> DataFrame:
-    """Every shingle of the windows that k serves: (item_id, win, len, offset, key)."""
-    at = F.explode(F.sequence(F.lit(0), F.col("len") - k)).alias("offset")
-    return windows.where(F.col("k") == k).select("item_id", "win", "len", at).withColumn("key", gram_key(F.col("win"), F.col("offset"), k))
+def window_shingles(windows: DataFrame, sizes: list[int]) -> DataFrame:
+    """Every shingle of every window: (item_id, win, hashes, len, k, offset, key)."""
+    at = F.explode(F.sequence(F.lit(0), F.col("len") - F.col("k"))).alias("offset")
+    key = F.coalesce(*[F.when(F.col("k") == k, gram_key(F.col("hashes"), F.col("offset"), k)) for k in sizes])
+    return windows.select("*", at).withColumn("key", key)
 
 
-def find_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> tuple[DataFrame, Scratch]:
-    """(doc_id, h, start, len, item_id): every occurrence of an item's window in a text. h is the text's hash; the pair
-    names a row, and rows alike in both have the same hits.
+def _small(keys: DataFrame) -> DataFrame:
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
 
-    Containment of a whole window needs each of its shingles, so one is prefix enough: the window's rarest by occurrences
-    in all documents. A document shingle that is in no window falls out where it is read, before any shuffle; one that is
-    keeps its surroundings, so that the window can be compared word for word without reading the text again.
+
+def find_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> tuple[DataFrame, Scratch]:
+    """(doc_id, h, start, len, item_id, win): every place of a text where the words' hashes are those of an item's window. h is
+    the text's hash; the pair names a row, and rows alike in both have the same hits.
+
+    Texts are split into words once; their hashes are written down. A first pass over them counts, for all shingle
+    lengths together, how often each shingle of the windows stands in all documents: keys alone, combined before the
+    shuffle. Containment of a whole window needs each of its shingles, so one is prefix enough: the rarest. Only
+    prefixes are joined with the documents in the second pass; windows with one that no document has are done by then.
+    A place where the window would not fit the text (length and position) falls out before hashes are compared.
     """
     scratch = Scratch(docs.sparkSession, "leaks")
     windows = scratch.save(item_windows(items, window))
     sizes = sorted(r[0] for r in windows.select("k").distinct().collect())  # 1 to SHINGLE
-    text = docs.select("doc_id", F.xxhash64("text").alias("h"), alnum_words(F.col("text")).alias("words"))
-    hits = []
-    for k in sizes:
-        grams = scratch.save(window_shingles(windows, k))
-        keys = grams.select("key").distinct()
-        if keys.count() <= BROADCAST_SHINGLES:
-            keys = F.broadcast(keys)
-        each = text.where(F.size("words") >= k).select("doc_id", "h", "words", F.posexplode("words").alias("pos", "word"))
-        each = each.select("doc_id", "h", "words", "pos", gram_key(F.col("words"), F.col("pos"), k).alias("key")).where(F.col("pos") <= F.size("words") - k)
-        found = each.join(keys, "key")
-        first = F.greatest(F.col("pos") - (window - k), F.lit(0))
-        found = found.select("doc_id", "h", "key", "pos", F.size("words").alias("n"), first.alias("from"), F.slice("words", first + 1, F.lit(2 * window - k)).alias("near"))
-        found = scratch.save(found)
-        counts = found.groupBy("key").agg(F.count("*").alias("freq"))
-        rare = grams.join(counts, "key", "left").groupBy("item_id", "win", "len").agg(F.min(F.struct(F.coalesce("freq", F.lit(0)).alias("freq"), "key", "offset")).alias("p"))
-        prefix = rare.where("p.freq > 0").select("item_id", "win", "len", F.col("p.key").alias("key"), F.col("p.offset").alias("offset"))
-        near = found.join(prefix, "key").withColumn("start", F.col("pos") - F.col("offset"))
-        near = near.where("start >= 0 AND start + len <= n").where(F.slice("near", F.col("start") - F.col("from") + 1, F.col("len")) == F.col("win"))
-        hits.append(near.select("doc_id", "h", "start", "len", "item_id"))
-    out = hits[0] if hits else text.sparkSession.createDataFrame([], "doc_id long, h long, start int, len int, item_id long")
-    for x in hits[1:]:
-        out = out.union(x)
-    return out, scratch
+    if not sizes:
+        return docs.select("doc_id", F.xxhash64("text").alias("h"), F.lit(0).alias("start")).where("false").join(windows.select("len", "item_id", "win").limit(0)), scratch
+    shingles = scratch.save(window_shingles(windows, sizes))
+    slim = scratch.save(docs.select("doc_id", F.xxhash64("text").alias("h"), word_hashes(alnum_words(F.col("text"))).alias("hashes")).where(F.size("hashes") > 0))
+    each = slim.select("doc_id", "h", "hashes", F.posexplode("hashes").alias("pos", "hash"))
+    at = [F.when(F.col("pos") + k <= F.size("hashes"), gram_key(F.col("hashes"), F.col("pos"), k)) for k in sizes]
+    each = each.select("doc_id", "h", "hashes", "pos", at[0].alias("key") if len(at) == 1 else F.explode(F.array(*at)).alias("key"))
+
+    counts = scratch.save(each.select("key").join(_small(shingles.select("key").distinct()), "key").groupBy("key").agg(F.count("*").alias("freq")))
+    rare = shingles.join(counts, "key", "left").groupBy("item_id", "win", "hashes", "len").agg(F.min(F.struct(F.coalesce("freq", F.lit(0)).alias("freq"), "key", "offset")).alias("p"))
+    prefix = scratch.save(rare.where("p.freq > 0").select("item_id", "win", F.col("hashes").alias("wanted"), "len", F.col("p.key").alias("key"), F.col("p.offset").alias("offset")))
+    hits = each.join(_small(prefix), "key").withColumn("start", F.col("pos") - F.col("offset"))
+    hits = hits.where("start >= 0 AND start + len <= size(hashes)").where(F.slice("hashes", F.col("start") + 1, F.col("len")) == F.col("wanted"))
+    return hits.select("doc_id", "h", "start", "len", "item_id", "win"), scratch
 
 
 def covered(spans: Column) -> Column:
@@ -79,18 +85,26 @@ def covered(spans: Column) -> Column:
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, one_in: int = 20) -> DataFrame:
-    """docs with n_words, n_hit (words inside any window), n_items, items (sorted item ids as strings), contaminated.
+    """docs with n_words, n_hit (words inside any window), n_full (those inside windows of full length), n_items, items (sorted
+    item ids as strings), contaminated.
 
-    contaminated: n_hit > 0 and one_in * n_hit >= n_words. Null or empty text has no words and no hits. Items that have
+    contaminated: n_hit > 0 and one_in * n_hit >= n_words. Windows found by their words' hashes are compared with the text
+    word for word. Null or empty text has no words and no hits. Items that have
     no words never hit; an item with a null id hits words but isn't counted. Repeated rows are judged alike. Columns of
     the new names are replaced, those that begin with an underscore are left out, other columns stay. With no items nothing is contaminated.
     """
-    docs = own_names(docs).drop("n_words", "n_hit", "n_items", "items", "contaminated")
-    hits, _ = find_hits(docs, items, window)
-    span = F.struct("start", (F.col("start") + F.col("len")).alias("end"))
-    per = hits.groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).agg(F.collect_set(span).alias("_spans"), F.collect_set(F.col("item_id").cast("string")).alias("_items"))
-    per = per.select("_id", "_h", covered(F.col("_spans")).alias("n_hit"), F.sort_array("_items").alias("items"))
+    docs = own_names(docs).drop("n_words", "n_hit", "n_full", "n_items", "items", "contaminated")
+    hits, scratch = find_hits(docs, items, window)
+    hit = F.struct("start", (F.col("start") + F.col("len")).alias("end"), "win", "item_id")
+    per = scratch.save(hits.groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).agg(F.collect_set(hit).alias("_hits")))
+    if per.count() <= BROADCAST_HITS:  # as many as the texts that share a window with the benchmark
+        per = F.broadcast(per)
     rows = docs.withColumns({"n_words": count_alnum_words(F.col("text")), "_text": F.xxhash64("text")})
     out = rows.join(per, rows.doc_id.eqNullSafe(per._id) & (rows._text == per._h), "left").drop("_id", "_h", "_text")
-    out = out.withColumns({"n_hit": F.coalesce("n_hit", F.lit(0)), "items": F.coalesce("items", F.array().cast("array<string>"))})
+    out = out.withColumn("_words", F.when(F.col("_hits").isNotNull(), alnum_words(F.col("text"))))
+    out = out.withColumn("_hits", F.filter(F.coalesce("_hits", F.array().cast(per.schema["_hits"].dataType)), lambda x: F.slice("_words", x["start"] + 1, x["end"] - x["start"]) == x["win"]))
+    spans = lambda xs: covered(F.transform(xs, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))))
+    ids = F.filter(F.transform("_hits", lambda x: x["item_id"].cast("string")), lambda x: x.isNotNull())
+    full = F.filter("_hits", lambda x: x["end"] - x["start"] == window)
+    out = out.withColumns({"n_hit": spans(F.col("_hits")), "n_full": spans(full), "items": F.sort_array(F.array_distinct(ids))}).drop("_hits", "_words")
     return out.withColumns({"n_items": F.size("items").cast("long"), "contaminated": F.expr(f"n_hit > 0 AND {one_in} * n_hit >= n_words")})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, own_names
+from .common import Scratch, own_names, space_words
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -18,7 +18,7 @@ def with_size(docs: DataFrame, seed: int) -> DataFrame:
     """Adds the word count and the random key of every row. The key is an md5 of doc_id, so reruns agree on any cluster."""
     return docs.withColumns(
         {
-            "_size": F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long"),
+            "_size": F.size(space_words(F.col("text"))).cast("long"),
             "_key": F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}"))),
         }
     )

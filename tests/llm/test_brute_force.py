@@ -166,6 +166,33 @@ def test_decontamination_with_short_items_and_repeats(spark):
         assert r.contaminated == (bool(hit) and 20 * len(hit) >= len(w))
 
 
+def test_long_documents_with_a_passage_go_and_clean_ones_stay(spark, tmp_path):
+    rng = random.Random(3)
+    items = [(i, " ".join(words_of(rng, n))) for i, n in enumerate((40, 13, 25, 3))]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    made, dirty = {i: words_of(rng, 30 + 40 * i) for i in range(40)}, set()
+    for i in range(0, 40, 4):
+        w = items[i // 4 % 3][1].split()
+        lo = rng.randint(0, len(w) - 13)
+        made[i][7:7] = w[lo : lo + 13]
+        dirty.add(i)
+    made[1][5:5] = items[0][1].split()[:12]  # one word short of a window
+    made[2][5:5] = items[3][1].split()  # a short item in 110 words
+    made[9][5:5] = items[3][1].split()  # and in 390
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in made.items()], "doc_id long, text string")
+    left = {r.doc_id for r in corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path)).collect()}
+    assert left == made.keys() - dirty
+
+
+def test_hits_are_the_same_by_broadcast_and_by_shuffle(spark, docs, monkeypatch):
+    bench = spark.read.parquet(f"{DATA}/benchmark.parquet")
+    rows = lambda: sorted(map(str, decontaminate.contamination(docs, bench).drop("text").collect()))
+    want = rows()
+    monkeypatch.setattr(decontaminate, "BROADCAST_KEYS", 0)
+    monkeypatch.setattr(decontaminate, "BROADCAST_HITS", 0)
+    assert rows() == want and not all("n_hit=0" in r for r in want)
+
+
 # --- 3 simhash -------------------------------------------------------------------------------------------------------
 
 
@@ -519,7 +546,9 @@ def test_stages_one_by_one(spark, docs, texts, tmp_path):
             assert all(any(bin(f[d] ^ f[k]).count("1") <= 3 for k in had if k != d) for d in had.keys() - has.keys())
             assert not [1 for a in has for b in has if a < b and bin(f[a] ^ f[b]).count("1") <= 3]
         if name == "decontamination":
-            assert has.keys() == {r.doc_id for r in decontaminate.contamination(now, spark.read.parquet(f"{DATA}/benchmark.parquet")).where("NOT contaminated").collect()}
+            wins = {tuple(w[i : i + 13]) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect() for w in [alnum(r.text)] for i in range(len(w) - 12)}
+            dirty = {d for d, t in had.items() for w in [alnum(t)] if any(tuple(w[i : i + 13]) in wins for i in range(len(w) - 12))}
+            assert dirty and has.keys() == had.keys() - dirty  # no item here has fewer than 13 words
         if name == "mixing":
             assert all(0 < r.taken <= 2 * r.size for r in out.collect())
         now = out

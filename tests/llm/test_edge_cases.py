@@ -93,14 +93,27 @@ def test_pages(spark, rows):
     assert [r.text for r in html_text.extract(pages).where("html IS NULL").collect()] == [""] * sum(h is None for _, _, h in rows)
 
 
+STAGE_CLASH = CLASH | {"had": 1, "had_words": 2, "n_full": 3, "items": "i", "contaminated": "c", "kept0": "z", "_under": 4, "a.b": "dot", "component_id": 5, "source_size": 6, "root": 7}
+GIVEN = ("size", "source_size", "target", "taken")
+
+
 @pytest.mark.parametrize("rows", [ROWS, []])
-def test_every_stage_alone(spark, tables, rows):
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_every_stage_alone(spark, tables, rows, name, stage):
     docs = spark.createDataFrame(rows, DOCS)
-    for name, stage in corpus_pipeline.STAGES:
-        out = stage(spark, docs, tables)
-        if name != "mixing":
-            assert out.columns == docs.columns
-        assert out.count() <= len(rows)
+    wide = docs.withColumns({k: F.lit(v) for k, v in STAGE_CLASH.items()})
+    plain, out = stage(spark, docs, tables), stage(spark, wide, tables)
+    more = list(GIVEN) if name == "mixing" else []
+    assert plain.columns == docs.columns + more
+    assert out.columns == [c for c in wide.columns if c not in more] + more
+    text = lambda df: sorted(str((r.doc_id, r.text, r.source, r.n_chars)) for r in df.collect())
+    assert text(plain) == text(out) and len(text(out)) <= len(rows)
+    for r in out.collect():
+        assert all(r[k] == v for k, v in STAGE_CLASH.items() if k not in more)
+    if rows and name != "mixing":
+        kept = [(r.doc_id, r.text) for r in plain.collect()]
+        assert kept.count((None, None)) == 1 or (2, None) in kept
+        assert kept.count((1, PROSE * 3)) == (1 if name == "simhash" else 2) and (5, LONG) in kept
 
 
 def test_pipeline_runs_through(spark, tables):
