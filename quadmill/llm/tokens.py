@@ -1,19 +1,25 @@
-"""Token counts: pieces are counted once per distinct pre-token and joined to the documents' pre-tokens."""
+"""Token counts: pieces are counted once per distinct pre-token and joined to the documents' pre-token frequencies."""
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
 
-#: Pre-tokens whose counts are broadcast: the most frequent ones, so many at most (some 70 bytes each). The rest are
+#: Pre-tokens whose counts go to every worker: the most frequent ones, so many at most (some 100 bytes each). The rest are
 #: joined by shuffle.
 HEAD = 500_000
+#: Different pre-tokens that a worker counts before it hands them on.
+HOLD = 200_000
 MARK = "▁"  # stands for a space
+_MARKED = re.compile(f"{MARK}+[^{MARK}]*")
 
 
 def check_model(path: str) -> None:
@@ -30,12 +36,54 @@ def check_model(path: str) -> None:
         raise ValueError(f"{path}: pieces can cross pre-tokens, e.g. {crossing[:3]}")
 
 
-def pre_tokens(text: Column) -> Column:
+def pre_tokens(text: str | None) -> list[str]:
     """The pre-tokens of a text, each a run of spaces and what follows it, without its first space. The library puts one
     space before every text. Joined with a space they are the text; no piece crosses them."""
-    plain = ~text.rlike(f"  |{MARK}|^ | $")
-    marked = F.regexp_extract_all(F.concat(F.lit(MARK), F.replace(text, F.lit(" "), F.lit(MARK))), F.lit(f"{MARK}+[^{MARK}]*"), 0)
-    return F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<string>")).when(plain, F.split(text, " ")).otherwise(F.transform(marked, lambda x: F.substring(x, 2, 2147483647)))
+    if not text:
+        return []
+    if "  " in text or MARK in text or text[0] == " " or text[-1] == " ":
+        return [x[1:] for x in _MARKED.findall(MARK + text.replace(" ", MARK))]
+    return text.split(" ")
+
+
+def count_pre_tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """For mapInPandas: (piece, freq) of a partition's texts, in parts of about HOLD."""
+    seen: Counter[str] = Counter()
+    for b in batches:
+        for text in b["text"]:
+            seen.update(pre_tokens(text))
+            if len(seen) > HOLD:
+                yield pd.DataFrame({"piece": list(seen), "freq": list(seen.values())})
+                seen.clear()
+    if seen:
+        yield pd.DataFrame({"piece": list(seen), "freq": list(seen.values())})
+
+
+def per_document(head: Broadcast[dict[str, int]]):
+    """For mapInPandas: of each text the frequencies of its pre-tokens; those in head are multiplied with their counts and
+    summed as n, the others stay as pieces and freqs."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = head.value
+        for batch in batches:
+            for at in range(0, len(batch), 1000):
+                b = batch.iloc[at : at + 1000]
+                sums, pieces, freqs = [], [], []
+                for text in b["text"]:
+                    counted = Counter(pre_tokens(text))
+                    n, rest = 0, {}
+                    for piece, freq in counted.items():
+                        k = known.get(piece)
+                        if k is None:
+                            rest[piece] = freq
+                        else:
+                            n += k * freq
+                    sums.append(n)
+                    pieces.append(list(rest))
+                    freqs.append(list(rest.values()))
+                yield pd.DataFrame({"doc_id": b["doc_id"], "n_bytes": b["n_bytes"], "n": sums, "pieces": pieces, "freqs": freqs})
+
+    return run
 
 
 def piece_counter(name: str):
@@ -67,31 +115,33 @@ def head_frequency(vocabulary: DataFrame, head: int) -> int:
 
 
 def count_tokens(docs: DataFrame, model: str = "piece_bpe_32k.model", limit: int = 4096, head: int = HEAD) -> DataFrame:
-    """(doc_id, n_bytes, n_tokens, over_limit) of every row, as the library would count, without making ids.
+    """(doc_id, n_bytes, n_tokens, over_limit) of every row, as the library would count.
 
-    Null text counts as empty: no bytes, no tokens. Rows with the same doc_id are rows of their own.
+    Null text counts as empty: no bytes, no tokens. Rows with the same doc_id are rows of their own, alike or not; an empty
+    table gives no rows. Other columns of docs are not read, whatever their names.
 
-    Three passes: distinct pre-tokens with their frequency (combined before the shuffle) get their piece counts once;
-    the most frequent ones are broadcast and cover most words where they are read; the others, each rare by then, are
-    joined by shuffle. So no key is hot in the join.
+    Two passes over the texts: distinct pre-tokens with their frequency (combined before the shuffle) get their piece
+    counts once; then each document's pre-token frequencies meet them. The most frequent ones go to every worker and cover
+    most words; what is left of a document is written down and joined by shuffle, each piece rare by then, so no key
+    is hot. Ids are made for distinct pre-tokens alone, to be counted, and go no further.
     """
     import public_tokenizers
 
     check_model(public_tokenizers.path(model))
-    scratch = Scratch(docs.sparkSession, "tokens")
-    text = F.col("text")
-    rows = docs.select("doc_id", F.xxhash64("text").alias("h"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), pre_tokens(text).alias("pieces"))
-    vocabulary = docs.select(F.explode(pre_tokens(text)).alias("piece")).groupBy("piece").agg(F.count("*").alias("freq"))
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "tokens")
+    vocabulary = docs.select("text").where("text <> ''").mapInPandas(count_pre_tokens, "piece string, freq long").groupBy("piece").agg(F.sum("freq").alias("freq"))
     vocabulary = scratch.save(vocabulary.mapInPandas(piece_counter(model), "piece string, freq long, n_tokens long"))
-    known = scratch.save(vocabulary.where(F.col("freq") >= head_frequency(vocabulary, head)).select("piece", "n_tokens"))
-
-    each = rows.select("doc_id", "h", "n_bytes", F.posexplode_outer("pieces").alias("pos", "piece"))
-    each = each.join(F.broadcast(known), "piece", "left")
-    key = ["doc_id", "h", "n_bytes"]
-    # copies: rows that are alike in doc_id and text; their tokens have been added up
-    front = each.groupBy(*key).agg(F.sum("n_tokens").alias("n"), F.count(F.when(F.coalesce("pos", F.lit(0)) == 0, 1)).alias("copies"))
-    rare = vocabulary.join(F.broadcast(known.select("piece")), "piece", "left_anti").select("piece", F.col("n_tokens").alias("n"))
-    back = each.where("piece IS NOT NULL AND n_tokens IS NULL").select(*key, "piece").join(rare, "piece")
-    both = front.union(back.select(*key, "n", F.lit(0).cast("long").alias("copies"))).groupBy(*key).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sum("copies").alias("copies"))
-    out = both.select("doc_id", "n_bytes", F.expr("n div copies").alias("n_tokens"), F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    least = head_frequency(vocabulary, head)
+    known = vocabulary.where(F.col("freq") >= least).select("piece", "n_tokens").toArrow()  # `head` rows at most
+    known = spark.sparkContext.broadcast(dict(zip(known["piece"].to_pylist(), known["n_tokens"].to_pylist())))
+
+    rows = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n long, pieces array<string>, freqs array<int>"
+    rows = scratch.save(rows.mapInPandas(per_document(known), schema).withColumn("row", F.monotonically_increasing_id()))
+    left = rows.select("row", "freqs", F.posexplode("pieces").alias("pos", "piece")).select("row", "piece", F.get("freqs", F.col("pos")).alias("freq"))
+    rare = vocabulary.where(F.col("freq") < least).select("piece", "n_tokens")
+    more = left.join(rare, "piece").groupBy("row").agg(F.sum(F.col("freq") * F.col("n_tokens")).alias("more"))
+    out = rows.select("row", "doc_id", "n_bytes", "n").join(more, "row", "left")
+    out = out.select("doc_id", "n_bytes", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n_tokens"))
+    return out.withColumn("over_limit", F.col("n_tokens") > limit)

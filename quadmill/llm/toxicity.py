@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-#: Texts that the classifier is fitted on, about: confirmed toxic ones, and unlabelled ones. Scoring reads every text whole.
+from .common import Scratch
+
+#: Texts that the weights are fitted on, about: confirmed toxic ones, and unlabelled ones. Counting and scoring read all texts whole.
 MAX_POSITIVE, MAX_UNLABELLED = 4_000, 8_000
 BITS = 18
 #: A feature is used if it stands in MIN_TEXTS toxic texts and that is MIN_Z standard deviations above the unlabelled rate.
@@ -21,6 +23,7 @@ MIN_TEXTS, MIN_Z = 4, 5.0
 STEPS, RATE, L2 = 300, 0.05, 5e-4
 #: Share of toxic texts where no labels tell it.
 PRIOR = 0.1
+MAX_PRIOR = 0.4
 _WORD = re.compile(r"[^\W\d_]+")
 #: Words whose features a worker remembers.
 _REMEMBER = 200_000
@@ -63,7 +66,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> Classifier:
-    """Minimises prior * E_P[l(g)] + max(0, E_U[l(-g)] - prior * E_P[l(-g)]) with the logistic loss l and Adam.
+    """A classifier over the features that are left in the given texts, an array each. Minimises prior * E_P[l(g)] + max(0, E_U[l(-g)] - prior * E_P[l(-g)]) with the logistic loss l and Adam.
 
     Where the corrected negative risk falls below zero, its own gradient is ascended, so that the classifier can't drive it
     down by learning the toxic sample by heart. Without toxic texts it gives the prior to every text.
@@ -71,19 +74,14 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float)
     bias = float(np.log(prior / (1 - prior)))
     if not positive or not unlabelled:
         return Classifier({}, bias)
-    dim = 1 << BITS
 
     def flat(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         return np.concatenate(texts), np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) for t in texts])
 
     (pf, pt), (uf, ut) = flat(positive), flat(unlabelled)
     n_p, n_u = len(positive), len(unlabelled)
-    seen = np.bincount(pf, minlength=dim)
-    usual = (np.bincount(uf, minlength=dim) + 1) / (n_u + 2)
-    keep = (seen >= MIN_TEXTS) & ((seen / n_p - usual) / np.sqrt(usual * (1 - usual) / n_p) > MIN_Z)
-    names = np.flatnonzero(keep)
-    place = np.cumsum(keep) - 1
-    pt, pf, ut, uf = pt[keep[pf]], place[pf[keep[pf]]], ut[keep[uf]], place[uf[keep[uf]]]
+    names = np.unique(np.r_[pf, uf])
+    pf, uf = np.searchsorted(names, pf), np.searchsorted(names, uf)
     w = np.append(np.zeros(len(names)), bias)
     mean, square = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, STEPS + 1):
@@ -107,33 +105,72 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(True))
 
 
-def _map_features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _count_features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(feature, n_positive, n): of a partition's texts, how many have each feature. Feature -1 counts the texts."""
     remembered: dict = {}
+    counts = np.zeros((2, (1 << BITS) + 1), np.int64)
     for b in batches:
-        yield pd.DataFrame({"positive": b["positive"], "features": [np.sort(np.fromiter(f, np.int32, len(f))).tobytes() for f in (text_features(t, remembered) for t in b["text"])]})
+        for positive, text in zip(b["positive"], b["text"]):
+            found = text_features(text, remembered)
+            at = np.fromiter(found, np.int64, len(found)) + 1
+            counts[1, 0] += 1
+            counts[1, at] += 1
+            if positive:
+                counts[0, 0] += 1
+                counts[0, at] += 1
+    at = np.flatnonzero(counts[1])
+    yield pd.DataFrame({"feature": at - 1, "n_positive": counts[0, at], "n": counts[1, at]})
+
+
+def _map_features(names: frozenset):
+    """For mapInPandas: those of names that each text has, as bytes."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        remembered: dict = {}
+        for b in batches:
+            found = [text_features(t, remembered, names) for t in b["text"]]
+            yield pd.DataFrame({"positive": b["positive"], "features": [np.sort(np.fromiter(f, np.int32, len(f))).tobytes() for f in found]})
+
+    return run
+
+
+def select_features(texts: DataFrame, scratch: Scratch) -> frozenset:
+    """From (text, positive) the features that at least MIN_TEXTS positive texts have, MIN_Z standard deviations above their
+    rate in all texts. Counted in the partitions over all texts, added up and judged there; only the chosen ones,
+    2 ** BITS at most and some hundred as a rule, reach the driver."""
+    counts = texts.select("positive", "text").mapInPandas(_count_features, "feature int, n_positive long, n long")
+    counts = scratch.save(counts.groupBy("feature").agg(F.sum("n_positive").alias("n_positive"), F.sum("n").alias("n")))
+    total = counts.where("feature = -1").first()
+    if total is None or not total.n_positive:
+        return frozenset()
+    usual = (F.col("n") + 1) / (total.n + 2)
+    z = (F.col("n_positive") / total.n_positive - usual) / F.sqrt(usual * (1 - usual) / total.n_positive)
+    return frozenset(r.feature for r in counts.where((F.col("feature") >= 0) & (F.col("n_positive") >= MIN_TEXTS) & (z > MIN_Z)).select("feature").collect())
 
 
 def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> Classifier:
     """A classifier from labels (doc_id, toxic) outside the held-out fold and texts of docs.
 
     A document is toxic if any of its label rows says so; null labels say nothing. The class prior is the labelled
-    share of toxic ones, kept within 0.001 and 0.5. Unlabelled texts are drawn from all documents outside the held-out
-    fold, whatever their labels. Both samples are drawn by a hash of doc_id, max_positive and max_unlabelled texts of
-    them expected; only their feature hashes reach the driver.
+    share of toxic ones, kept within 0.001 and MAX_PRIOR, so that a text of which nothing is known isn't toxic. How common a feature is comes from all documents outside the
+    held-out fold, whatever their labels; the weights are fitted on a sample of the toxic texts and of those, drawn by a
+    hash of doc_id, max_positive and max_unlabelled texts expected. Only the chosen features of sampled texts reach the driver.
     """
+    scratch = Scratch(docs.sparkSession, "toxicity")
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n, toxic = known.agg(F.count("*"), F.sum((F.col("toxic") == 1).cast("long"))).first()
-    prior = min(0.5, max(0.001, toxic / n)) if n else PRIOR
+    prior = min(MAX_PRIOR, max(0.001, toxic / n)) if n else PRIOR
     free = docs.select("doc_id", "text").where(~held_out(F.col("doc_id")))
-    n_free = free.select("doc_id").count()
 
     def share(most: int, of: int) -> Column:
         return F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, most / max(of, 1)))
 
-    chosen = known.where("toxic = 1").where(share(max_positive, toxic or 0)).select("doc_id", F.lit(True).alias("positive"))
-    sample = free.join(F.broadcast(chosen), "doc_id")  # max_positive ids
-    sample = sample.select("text", "positive").union(free.where(share(max_unlabelled, n_free)).select("text", F.lit(False).alias("positive")))
-    rows = sample.mapInPandas(_map_features, "positive boolean, features binary").collect()
+    chosen = known.where("toxic = 1").where(share(max_positive, toxic or 0)).select("doc_id", F.lit(True).alias("_chosen"))
+    free = free.join(F.broadcast(chosen), "doc_id", "left").select("doc_id", "text", F.col("_chosen").isNotNull().alias("positive"))  # max_positive ids
+    names = select_features(free, scratch)
+    n_free = free.count() if names else 0
+    either = free.where("positive").union(free.where(share(max_unlabelled, n_free)).withColumn("positive", F.lit(False)))
+    rows = either.select("text", "positive").mapInPandas(_map_features(names), "positive boolean, features binary").collect() if names else []
     # In the order of their contents, so that reruns add up in the same order.
     rows.sort(key=lambda r: (r["positive"], bytes(r["features"])))
     of = lambda flag: [np.frombuffer(r["features"], np.int32) for r in rows if r["positive"] is flag]
