@@ -18,10 +18,12 @@ MIN_WORDS = 25
 #: Words of a shingle, and so of the shortest paragraph that counts.
 SHINGLE = 5
 JACCARD = 0.8
-#: A pair of similarity JACCARD meets in one of BANDS bands of ROWS minima: 1 - (1 - 0.8 ** 2) ** 6 = 0.998.
-BANDS, ROWS = 6, 2
-#: Paragraphs that are compared in one task at most, twice this many for two blocks of a larger group.
+#: A pair of similarity JACCARD meets in one of BANDS bands of ROWS minima: 1 - (1 - 0.8 ** 3) ** 8 = 0.997.
+BANDS, ROWS = 8, 3
+#: Paragraphs of a bucket that are compared at once; larger buckets are cut into blocks.
 BLOCK = 500
+#: Rows without a doc_id get numbers from here on; doc_ids are smaller.
+NO_ID = 1 << 62
 #: Texts are also compared by windows of PASSAGE words, which start at the least hash of any WINNOW consecutive ones. So
 #: every shared passage of PASSAGE + WINNOW - 1 words has a window in common, whatever surrounds it; extended() finds its ends.
 PASSAGE, WINNOW = 24, 9
@@ -178,32 +180,48 @@ def _similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _link(rows: pd.DataFrame) -> pd.DataFrame:
-    """Edges (a, b) that connect what is connected by similar paragraphs that meet in a band, as few as that takes.
+    """Edges (a, b) that connect what similar paragraphs connect in each block of a bucket, as few as that takes.
+
+    A newcomer is compared with the members of each cluster until one is similar. Many copies are one cluster soon, so cost
+    little. Paragraphs that stand in one and the same document alone are not compared."""
+    rows = rows.sort_values(["band", "value", "block", "key"])
+    where, keys = rows[["band", "value", "block"]].to_numpy(), rows["key"].tolist()
+    grams, owners = rows["grams"].tolist(), rows["owner"].tolist()
+    cuts = np.flatnonzero(np.r_[True, (where[1:] != where[:-1]).any(axis=1), True]).tolist()
+    edges = []
+    for lo, hi in zip(cuts, cuts[1:]):
+        clusters: list[list[int]] = []
+        for i in range(lo, hi):
+            mine, others = [i], []
+            for c in clusters:
+                like = next((j for j in c if (owners[i] < 0 or owners[i] != owners[j]) and _similar(grams[i], grams[j])), None)
+                if like is None:
+                    others.append(c)
+                else:
+                    edges.append((keys[like], keys[i]))
+                    mine = c + mine
+            clusters = [*others, mine]
+    return pd.DataFrame(edges, columns=["a", "b"])
 
-    In each band's bucket the members stand by their clusters so far; a newcomer is compared with the members of every
-    cluster that it isn't in until one is similar. A large group of copies is one cluster soon, so costs little."""
-    keys, grams, bands = rows["key"].tolist(), rows["grams"].tolist(), rows["bands"].tolist()
-    parent = list(range(len(keys)))
 
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
+def _link_across(rows: pd.DataFrame) -> pd.DataFrame:
+    """Edges between two blocks of a bucket, of paragraphs that are in different components so far."""
+    first = rows["block"].min()
+    halves = [rows[rows["block"] == first], rows[rows["block"] != first]]
+    a, b = ([h[c].tolist() for c in ("key", "grams", "owner", "root")] for h in halves)
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while x in parent:
+            x = parent[x]
+        return x
 
-    buckets: dict[tuple[int, int], dict[int, list[int]]] = {}
     edges = []
-    for i in range(len(keys)):
-        for band, value in enumerate(bands[i]):
-            clusters = buckets.setdefault((band, value), {})
-            for c in list(clusters):
-                if root(c) != root(i) and (j := next((j for j in clusters[c] if _similar(grams[i], grams[j])), None)) is not None:
-                    edges.append((keys[j], keys[i]))
-                    parent[root(i)] = root(j)
-            for c in list(clusters):  # clusters that have become one are put together
-                if root(c) != c:
-                    clusters.setdefault(root(c), []).extend(clusters.pop(c))
-            clusters.setdefault(root(i), []).append(i)
+    for key, grams, owner, mine in zip(*a):
+        for other, theirs, whose, there in zip(*b):
+            if (owner < 0 or owner != whose) and root(mine) != root(there) and _similar(grams, theirs):
+                edges.append((key, other))
+                parent[root(mine)] = root(there)
     return pd.DataFrame(edges, columns=["a", "b"])
 
 
@@ -225,47 +243,55 @@ def _map_passages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _map_sides(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of the windows that start at the given bytes the WINNOW - 1 words on each side, the nearest first: hashes, and bytes
-    where a span that takes them in begins or ends."""
+    """Of the windows that start at the given bytes the words themselves, and the WINNOW - 1 words on each side, the nearest
+    first: hashes, and bytes where a span that takes them in begins or ends."""
     for b in _slices(batches):
         out = []
         for d, h, text, places in zip(b["doc_id"], b["h"], b["text"], b["places"]):
-            t = Text(text)
+            t, raw = Text(text), text.encode("utf-8", "surrogatepass").lower()
             for at, i in zip(places, np.searchsorted(t.starts, places)):
                 left, right = slice(max(0, i - WINNOW + 1), i), slice(i + PASSAGE, i + PASSAGE + WINNOW - 1)
-                out.append((d, h, at, _signed(t.hashes[left])[::-1], t.starts[left][::-1], _signed(t.hashes[right]), t.ends[right]))
-        yield pd.DataFrame(out, columns=["doc_id", "h", "at", "left", "left_at", "right", "right_at"])
+                out.append((d, h, at, b" ".join(raw[at : t.ends[i + PASSAGE - 1]].split()), _signed(t.hashes[left])[::-1], t.starts[left][::-1], _signed(t.hashes[right]), t.ends[right]))
+        yield pd.DataFrame(out, columns=["doc_id", "h", "at", "words", "left", "left_at", "right", "right_at"])
 
 
 def near_paragraphs(lines: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(a, b), keys of different paragraphs, that connect all those of Jaccard JACCARD or more on SHINGLE words
-    in groups of more than one document.
-
-    Equal paragraphs are one key. Keys that meet in bands form groups, by components; each key's shingles are read once
-    from one of its texts, and groups are compared exactly. Small groups share tasks; a group of more than BLOCK keys is
-    cut into blocks, and every two blocks are compared, so no group is gathered in one task and no pair is left out.
+    """(a, b), keys of different paragraphs, that connect all those of Jaccard JACCARD or more on SHINGLE words that meet in
+    a band and stand in different documents.
+
+    Equal paragraphs are one key. Those that meet in a band are a bucket; of buckets with the same members one is compared,
+    and each key's shingles are read once from one of its texts. Buckets are compared exactly. One of more than BLOCK keys
+    is cut into blocks by hash, another way in every band: comparing inside the blocks connects a large
+    group of near copies already, and blocks are compared with one another only in buckets that are not one component then.
+    Only verified edges make components; no bucket is gathered in one task, and no pair is left out.
     """
     each = scratch.save(lines.groupBy("key").agg(F.min(F.struct("doc_id", "h", "start", "end")).alias("at"), F.max("doc_id").alias("high"), F.first("bands").alias("bands")))
-    banded = each.select("key", F.posexplode("bands").alias("band", "value"))
-    star = banded.withColumn("low", F.min("key").over(Window.partitionBy("band", "value"))).where("low < key")
-    groups = connected_components(scratch.save(star.select(F.col("low").alias("a"), F.col("key").alias("b")).distinct()), scratch)
-    # Groups inside one document repeat nothing: a unit and the line that is most of it, say.
-    shared = groups.join(each, groups.node == each.key).groupBy("root").agg(F.min("at.doc_id").alias("low"), F.max("high").alias("high")).where("low < high")
-    groups = scratch.save(groups.join(shared.select("root"), "root").select("node", "root"))
-    members = groups.select(F.col("node").alias("key"), "root").join(each, "key")
-    wanted = members.select("key", "at.*").groupBy(F.col("doc_id").alias("_d"), F.col("h").alias("_h")).agg(F.collect_list(F.struct("key", "start", "end")).alias("parts"))
+    banded = each.select("key", F.col("at.doc_id").alias("low"), "high", F.posexplode("bands").alias("band", "value"))
+    members = [F.bit_xor(F.xxhash64("key", F.lit(i))).alias(f"m{i}") for i in range(2)]
+    buckets = banded.groupBy("band", "value").agg(F.count("*").alias("n"), *members, F.min("low").alias("low"), F.max("high").alias("high")).where("n > 1 AND low < high")
+    buckets = scratch.save(buckets.groupBy("n", "m0", "m1").agg(F.min(F.struct("band", "value")).alias("at")).select("at.*", F.ceil(F.col("n") / BLOCK).alias("blocks")))
+    owner = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(-1).alias("owner")
+    block = F.pmod(F.xxhash64("key", "band", "value"), "blocks").alias("block")
+    rows = scratch.save(banded.join(buckets, ["band", "value"]).select("key", owner, "band", "value", "blocks", block))
+
+    wanted = rows.select("key").distinct().join(each, "key").select("key", "at.*")
+    wanted = wanted.groupBy(F.col("doc_id").alias("_d"), F.col("h").alias("_h")).agg(F.collect_list(F.struct("key", "start", "end")).alias("parts"))
     ids = docs.select("doc_id", "h", "text")
     texts = ids.join(wanted, (ids.doc_id == wanted._d) & (ids.h == wanted._h)).select("text", "parts")
-    grams = scratch.save(texts.mapInPandas(_map_grams, "key long, grams array<long>")).dropDuplicates(["key"])
-    sized = members.select("key", "root", "bands")
-    place, size = F.row_number().over(Window.partitionBy("root").orderBy("key")) - 1, F.count("*").over(Window.partitionBy("root"))
-    sized = sized.withColumns({"_block": F.floor(place / BLOCK).cast("int"), "_blocks": F.ceil(size / BLOCK).cast("int")})
-    tasks = max(1, -(-groups.count() // BLOCK))
-    other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
-    dealt = sized.withColumn("_other", other).where("_blocks = 1 OR _block <> _other").withColumns({"_low": F.least("_block", "_other"), "_high": F.greatest("_block", "_other")})
-    dealt = dealt.withColumn("_task", F.when(F.col("_blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(tasks))).otherwise(F.xxhash64("root", "_low", "_high")))
-    compared = dealt.select("_task", "key", "bands").join(grams, "key")
-    return compared.groupBy("_task").applyInPandas(lambda rows: _link(rows), "a long, b long").distinct()
+    grams = scratch.save(texts.mapInPandas(_map_grams, "key long, grams array<long>").dropDuplicates(["key"]))
+    tasks = max(1, rows.count() // (2 * BLOCK))
+    inside = rows.withColumn("_task", F.pmod(F.xxhash64("band", "value", "block"), F.lit(tasks))).join(grams, "key")
+    edges = scratch.save(inside.groupBy("_task").applyInPandas(_link, "a long, b long").distinct())
+
+    hot = rows.where("blocks > 1")
+    if hot.isEmpty():
+        return edges
+    roots = connected_components(edges, scratch)
+    hot = scratch.save(hot.join(roots, hot.key == roots.node, "left").withColumn("root", F.coalesce("root", "key")).drop("node"))
+    mixed = hot.groupBy("band", "value").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a < _b").select("band", "value")
+    pairs = hot.join(mixed, ["band", "value"]).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).where("block <> _other")
+    across = pairs.withColumn("_task", F.xxhash64("band", "value", F.least("block", "_other"), F.greatest("block", "_other"))).join(grams, "key")
+    return edges.union(across.groupBy("_task").applyInPandas(_link_across, "a long, b long")).distinct()
 
 
 def _with_runs(spans: DataFrame) -> DataFrame:
@@ -277,44 +303,44 @@ def _with_runs(spans: DataFrame) -> DataFrame:
 
 
 def extended(hits: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(doc_id, h, first_doc_id, start, end): runs of hits, and their outermost windows with the words on both sides that
-    the first document has there too. Were WINNOW more words alike, another window among them would be in the run."""
+    """(doc_id, h, first_doc_id, start, end): runs of hits whose outermost windows are the first document's word for word, with the
+    words on both sides that it has there too. Were WINNOW more words alike, another window among them would be in the run."""
     outer = _with_runs(hits).groupBy("doc_id", "h", "run", F.col("first.doc_id").alias("first_doc_id"), F.col("first.h").alias("first_h"))
     window = F.struct("start", "end", F.col("first.start").alias("first_at"))
     outer = scratch.save(outer.agg(F.min(window).alias("lo"), F.max(window).alias("hi")))
-    edges = outer.select("doc_id", "h", "first_doc_id", "first_h", F.explode(F.array("lo", "hi")).alias("w")).select("doc_id", "h", "first_doc_id", "first_h", "w.*").distinct()
+    edges = outer.select("doc_id", "h", "run", "first_doc_id", "first_h", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("w")).select("doc_id", "h", "run", "first_doc_id", "first_h", "w.*")
     wanted = edges.select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), F.col("start").alias("at")).union(edges.select("first_doc_id", "first_h", "first_at"))
     wanted = wanted.groupBy("_d", "_h").agg(F.collect_set("at").alias("places"))
     ids = docs.select("doc_id", "h", "text")
     texts = ids.join(wanted, (ids.doc_id == wanted._d) & (ids.h == wanted._h)).select("doc_id", "h", "text", "places")
-    sides = texts.mapInPandas(_map_sides, "doc_id long, h long, at int, left array<long>, left_at array<int>, right array<long>, right_at array<int>")
-    sides = scratch.save(sides).dropDuplicates(["doc_id", "h", "at"])
-    firsts = sides.select(F.col("doc_id").alias("first_doc_id"), F.col("h").alias("first_h"), F.col("at").alias("first_at"), F.col("left").alias("first_left"), F.col("right").alias("first_right"))
-    both = edges.join(sides.withColumnRenamed("at", "start"), ["doc_id", "h", "start"]).join(firsts, ["first_doc_id", "first_h", "first_at"])
+    sides = texts.mapInPandas(_map_sides, "doc_id long, h long, at int, words binary, left array<long>, left_at array<int>, right array<long>, right_at array<int>")
+    sides = scratch.save(sides.dropDuplicates(["doc_id", "h", "at"]))
+    firsts = sides.select(F.col("doc_id").alias("first_doc_id"), F.col("h").alias("first_h"), F.col("at").alias("first_at"), F.col("words").alias("first_words"), F.col("left").alias("first_left"), F.col("right").alias("first_right"))
+    both = edges.join(sides.withColumnRenamed("at", "start"), ["doc_id", "h", "start"]).join(firsts, ["first_doc_id", "first_h", "first_at"]).where("words = first_words")
 
     def end(side: str, otherwise: str) -> Column:
         alike = F.zip_with(side, f"first_{side}", lambda a, b: F.coalesce(a == b, F.lit(False)))
         differs = F.array_position(alike, False)
         last = F.when(differs > 0, differs - 1).otherwise(F.size(alike)).cast("int") - 1
-        return F.when(last >= 0, F.get(f"{side}_at", last)).otherwise(F.col(otherwise)).alias(otherwise)
+        return F.when(last >= 0, F.get(f"{side}_at", last)).otherwise(F.col(otherwise))
 
-    runs = outer.select("doc_id", "h", "first_doc_id", "lo.start", "hi.end")
-    return runs.union(both.select("doc_id", "h", "first_doc_id", end("left", "start"), end("right", "end")))
+    return both.groupBy("doc_id", "h", "run", "first_doc_id", "first_h").agg(F.min(end("left", "start")).alias("start"), F.max(end("right", "end")).alias("end")).select("doc_id", "h", "first_doc_id", "start", "end")
 
 
-def repeats(docs: DataFrame) -> DataFrame:
+def repeats(docs: DataFrame, windows: bool = True) -> DataFrame:
     """(doc_id, h, first_doc_id, start, end): byte spans of texts that repeat what an earlier document has, h the text's
     hash. Earlier is the smaller doc_id; first_doc_id is an earlier document that has it, for paragraphs the first.
 
-    Paragraphs are the units() of a text, its lines first of all; those linked by Jaccard form components, and of each component all
-    but the documents that come first (the smallest doc_id, null last) lose the paragraph. Passages repeat word for word.
-    Repeats inside one document are left. Rows with null doc_id come last and are cleared like any other; null and
-    empty texts have no spans; rows of one doc_id are one document.
+    Paragraphs are the units() of a text, its lines first of all; those of different documents linked by Jaccard form components,
+    and of each component all but the documents that come first (the smallest doc_id, null last) lose the paragraph. Passages
+    repeat word for word, and are left out without `windows`. Repeats inside one document are left. Rows with null doc_id come last, each text of theirs a
+    document of its own, in the order of their hashes; doc_ids are below 2 ** 62. Null and empty texts have no spans, an
+    empty table no rows; rows of one doc_id are one document, and repeated rows have the same spans. Other columns of docs
+    are not read, whatever their names.
     """
     scratch = Scratch(docs.sparkSession, "repeats")
     rows = docs.select("doc_id", F.xxhash64("text").alias("h"), "text").where("text IS NOT NULL")
-    order = F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1))
-    slim = rows.withColumn("doc_id", order)
+    slim = rows.withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.shiftrightunsigned("h", 2) + NO_ID))
 
     lines = scratch.save(slim.mapInPandas(_map_paragraphs, "doc_id long, h long, start int, end int, n int, key long, bands array<long>"))
     roots = connected_components(scratch.save(near_paragraphs(lines, slim, scratch)), scratch)
@@ -324,15 +350,17 @@ def repeats(docs: DataFrame) -> DataFrame:
     named = placed.join(first.where("first_doc_id < last"), "root").select("key", "first_doc_id")
     whole = lines.join(named, "key").where("doc_id > first_doc_id").select("doc_id", "h", "first_doc_id", "start", "end")
 
-    windows = slim.mapInPandas(_map_passages, "doc_id long, h long, start int, end int, key long, known long, known_h long, known_start int, settled boolean")
-    spread = F.when(F.col("settled"), F.xxhash64("doc_id", "start"))  # settled rows need no meeting
-    least = F.min(F.struct("doc_id", "h", "start")).over(Window.partitionBy("key", "spread"))
-    known = F.struct(F.col("known").alias("doc_id"), F.col("known_h").alias("h"), F.col("known_start").alias("start"))
-    windows = windows.withColumn("spread", spread).withColumn("first", F.when(F.col("settled"), known).otherwise(least))
-    inner = extended(windows.where("doc_id > first.doc_id").select("doc_id", "h", "first", "start", "end"), slim, scratch)
-    merged = _with_runs(whole.union(inner)).groupBy("doc_id", "h", "run").agg(F.min("first_doc_id").alias("first_doc_id"), F.min("start").alias("start"), F.max("end").alias("end"))
-    null = lambda c: F.when(F.col(c) < (1 << 63) - 1, F.col(c)).alias(c)
-    return merged.select(null("doc_id"), "h", "first_doc_id", "start", "end")
+    found = whole
+    if windows:
+        chosen = slim.mapInPandas(_map_passages, "doc_id long, h long, start int, end int, key long, known long, known_h long, known_start int, settled boolean")
+        spread = F.when(F.col("settled"), F.xxhash64("doc_id", "start"))  # settled rows need no meeting
+        least = F.min(F.struct("doc_id", "h", "start")).over(Window.partitionBy("key", "spread"))
+        known = F.struct(F.col("known").alias("doc_id"), F.col("known_h").alias("h"), F.col("known_start").alias("start"))
+        chosen = chosen.withColumn("spread", spread).withColumn("first", F.when(F.col("settled"), known).otherwise(least))
+        found = whole.union(extended(chosen.where("doc_id > first.doc_id").select("doc_id", "h", "first", "start", "end"), slim, scratch))
+    merged = _with_runs(found).groupBy("doc_id", "h", "run").agg(F.min("first_doc_id").alias("first_doc_id"), F.min("start").alias("start"), F.max("end").alias("end"))
+    null = lambda c: F.when(F.col(c) < NO_ID, F.col(c)).alias(c)
+    return merged.select(null("doc_id"), "h", null("first_doc_id"), "start", "end")
 
 
 @F.pandas_udf(StringType())

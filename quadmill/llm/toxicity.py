@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from collections.abc import Iterator
@@ -29,11 +30,18 @@ _WORD = re.compile(r"[^\W\d_]+")
 _REMEMBER = 200_000
 
 
+@functools.lru_cache(1 << 16)
+def _beginning(letters: str) -> int:
+    return zlib.crc32(b"%d" % len(letters) + letters.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1)
+
+
 def word_features(word: str) -> tuple[int, ...]:
     """Hashes of a word and of its first 4 and 6 letters, which carry over to other endings."""
-    parts = [b"w" + word.encode("utf-8", "surrogatepass")]
-    parts += [b"%d" % n + word[:n].encode("utf-8", "surrogatepass") for n in (4, 6) if len(word) > n]
-    return tuple(zlib.crc32(p) & ((1 << BITS) - 1) for p in parts)
+    whole = zlib.crc32(b"w" + word.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1)
+    n = len(word)
+    if n > 6:
+        return whole, _beginning(word[:4]), _beginning(word[:6])
+    return (whole, _beginning(word[:4])) if n > 4 else (whole,)
 
 
 def text_features(text: str | None, remembered: dict, wanted: frozenset | None = None) -> set[int]:

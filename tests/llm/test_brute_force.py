@@ -268,6 +268,66 @@ def test_planted_passages_go_and_clean_texts_stay(spark):
     assert found == {(32, 31), (33, 31), (40, 31), (52, 51), (53, 51), (61, 60)}
 
 
+def test_paragraph_components_are_those_of_all_pairs(spark, monkeypatch):
+    """Lines of varying likeness, compared pair by pair: what banding finds of the links, and that it makes up none."""
+    rng = random.Random(13)
+    lines = []
+    for _ in range(40):
+        w = words_of(rng, rng.randint(12, 50))
+        for _ in range(rng.randint(1, 6)):
+            x = list(w)
+            for _ in range(rng.randint(0, 2)):
+                x[rng.randrange(len(x))] = f"v{rng.randint(0, 9)}"
+            lines.append(x)
+    rng.shuffle(lines)
+    made = [(i if i % 9 else None, " ".join(lines[i]) + "\n\n" + " ".join(lines[(i * 7 + 3) % len(lines)])) for i in range(len(lines))]
+    grams = lambda t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
+    last = lambda i: (made[i][0] is None, made[i][0] or 0, xxhash.xxh64_intdigest(made[i][1].encode(), 42) >> 2)
+    place = {i: n for n, i in enumerate(sorted(range(len(made)), key=last))}
+    units = [(place[i], (i, at), t) for i, (_, text) in enumerate(made) for a, b in [text.split("\n\n")] for t, at in ((a, 0), (b, len(a.encode()) + 2))]
+    parent = list(range(len(units)))
+
+    def root(v):
+        while parent[v] != v:
+            v = parent[v]
+        return v
+
+    links = 0
+    for x, (i, _, s) in enumerate(units):
+        for y, (j, _, t) in enumerate(units[:x]):
+            a, b = grams(s), grams(t)
+            if s == t or i != j and len(a & b) >= 0.8 * len(a | b):
+                links += s != t
+                parent[root(x)] = root(y)
+    first = {}
+    for x, (i, _, _) in enumerate(units):
+        first[root(x)] = min(first.get(root(x), i), i)
+    want = {at for x, (n, at, _) in enumerate(units) if n > first[root(x)]}
+    assert links > 50 and len(want) > 100
+    frame = spark.createDataFrame(made, "doc_id long, text string")
+    for block in (500, 3):
+        monkeypatch.setattr(substrings, "BLOCK", block)
+        got = set()
+        hashes = {xxhash.xxh64_intdigest(t.encode(), 42): i for i, (_, t) in enumerate(made)}
+        for r in substrings.repeats(frame, windows=False).collect():
+            i, raw = hashes[r.h % (1 << 64)], made[hashes[r.h % (1 << 64)]][1].encode()
+            assert r.doc_id == made[i][0]
+            at = r.start
+            for part in raw[r.start : r.end].split(b"\n"):
+                if part.strip():
+                    got.add((i, at))
+                at += len(part) + 1
+        assert not got - want and len(got & want) >= 0.97 * len(want)
+
+
+def test_rows_without_id_are_documents_of_their_own(spark):
+    rng = random.Random(14)
+    passage = " ".join(words_of(rng, 60))
+    made = [(None, " ".join(words_of(rng, 20)) + f" {passage} " + " ".join(words_of(rng, 20))) for _ in range(3)]
+    spans = substrings.repeats(spark.createDataFrame(made, "doc_id long, text string")).collect()
+    assert len(spans) == 2 and all(r.doc_id is None and r.first_doc_id is None and r.end - r.start >= len(passage) for r in spans)
+
+
 def test_large_groups_are_compared_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(substrings, "BLOCK", 7)
     rng = random.Random(8)
