@@ -95,16 +95,22 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, one_i
     """
     docs = own_names(docs).drop("n_words", "n_hit", "n_full", "n_items", "items", "contaminated")
     hits, scratch = find_hits(docs, items, window)
-    hit = F.struct("start", (F.col("start") + F.col("len")).alias("end"), "win", "item_id")
+    hit = F.struct("start", (F.col("start") + F.col("len")).alias("end"), "win", F.col("item_id").cast("string").alias("item"))
     per = scratch.save(hits.groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).agg(F.collect_set(hit).alias("_hits")))
-    if per.count() <= BROADCAST_HITS:  # as many as the texts that share a window with the benchmark
-        per = F.broadcast(per)
-    rows = docs.withColumns({"n_words": count_alnum_words(F.col("text")), "_text": F.xxhash64("text")})
-    out = rows.join(per, rows.doc_id.eqNullSafe(per._id) & (rows._text == per._h), "left").drop("_id", "_h", "_text")
-    out = out.withColumn("_words", F.when(F.col("_hits").isNotNull(), alnum_words(F.col("text"))))
-    out = out.withColumn("_hits", F.filter(F.coalesce("_hits", F.array().cast(per.schema["_hits"].dataType)), lambda x: F.slice("_words", x["start"] + 1, x["end"] - x["start"]) == x["win"]))
+    few = per.count() <= BROADCAST_HITS  # the texts that share a window with the benchmark
+    small = F.broadcast if few else lambda df: df
+    same = lambda rows, per: rows.doc_id.eqNullSafe(per._id) & (rows._text == per._h)
+    rows = docs.select("doc_id", F.xxhash64("text").alias("_text"), "text")
+    found = rows.join(small(per.select("_id", "_h")), same(rows, per)).select("_id", "_h", alnum_words(F.col("text")).alias("_words"))
+    found = found.dropDuplicates(["_id", "_h"]).withColumnsRenamed({"_id": "_i", "_h": "_t"})
+    found = found.join(per, found._i.eqNullSafe(per._id) & (found._t == per._h))
+    found = found.withColumn("_hits", F.filter("_hits", lambda x: F.slice("_words", x["start"] + 1, x["end"] - x["start"]) == x["win"]))
     spans = lambda xs: covered(F.transform(xs, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))))
-    ids = F.filter(F.transform("_hits", lambda x: x["item_id"].cast("string")), lambda x: x.isNotNull())
+    ids = F.filter(F.transform("_hits", lambda x: x["item"]), lambda x: x.isNotNull())
     full = F.filter("_hits", lambda x: x["end"] - x["start"] == window)
-    out = out.withColumns({"n_hit": spans(F.col("_hits")), "n_full": spans(full), "items": F.sort_array(F.array_distinct(ids))}).drop("_hits", "_words")
+    found = scratch.save(found.select("_id", "_h", spans(F.col("_hits")).alias("n_hit"), spans(full).alias("n_full"), F.sort_array(F.array_distinct(ids)).alias("items")))
+
+    rows = docs.withColumns({"n_words": count_alnum_words(F.col("text")), "_text": F.xxhash64("text")})
+    out = rows.join(small(found), same(rows, found), "left").drop("_id", "_h", "_text")
+    out = out.withColumns({"n_hit": F.coalesce("n_hit", F.lit(0).cast("long")), "n_full": F.coalesce("n_full", F.lit(0).cast("long")), "items": F.coalesce("items", F.array().cast("array<string>"))})
     return out.withColumns({"n_items": F.size("items").cast("long"), "contaminated": F.expr(f"n_hit > 0 AND {one_in} * n_hit >= n_words")})

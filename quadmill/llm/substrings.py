@@ -18,8 +18,8 @@ MIN_WORDS = 25
 #: Words of a shingle, and so of the shortest paragraph that counts.
 SHINGLE = 5
 JACCARD = 0.8
-#: A pair of similarity JACCARD meets in one of BANDS bands of ROWS minima: 1 - (1 - 0.8 ** 3) ** 8 = 0.997.
-BANDS, ROWS = 8, 3
+#: A pair of similarity JACCARD meets in one of BANDS bands of ROWS minima: 1 - (1 - 0.8 ** 3) ** 6 = 0.986.
+BANDS, ROWS = 6, 3
 #: Paragraphs of a bucket that are compared at once; larger buckets are cut into blocks.
 BLOCK = 500
 #: Rows without a doc_id get numbers from here on; doc_ids are smaller.
@@ -156,8 +156,8 @@ def _map_paragraphs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found = [paragraphs(t) for t in b["text"]]
         n = [len(f[0]) for f in found]
         if sum(n):
-            starts, ends, words, keys, bands = (np.concatenate([f[i] for f in found]) for i in range(5))
-            yield pd.DataFrame({"doc_id": np.repeat(b["doc_id"].to_numpy(), n), "h": np.repeat(b["h"].to_numpy(), n), "start": starts, "end": ends, "n": words, "key": _signed(keys), "bands": list(_signed(bands))})
+            starts, ends, keys, bands = (np.concatenate([f[i] for f in found]) for i in (0, 1, 3, 4))
+            yield pd.DataFrame({"doc_id": np.repeat(b["doc_id"].to_numpy(), n), "h": np.repeat(b["h"].to_numpy(), n), "start": starts, "end": ends, "key": _signed(keys), "bands": list(_signed(bands))})
 
 
 def _map_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -184,8 +184,8 @@ def _link(rows: pd.DataFrame) -> pd.DataFrame:
 
     A newcomer is compared with the members of each cluster until one is similar. Many copies are one cluster soon, so cost
     little. Paragraphs that stand in one and the same document alone are not compared."""
-    rows = rows.sort_values(["band", "value", "block", "key"])
-    where, keys = rows[["band", "value", "block"]].to_numpy(), rows["key"].tolist()
+    rows = rows.sort_values(["value", "block", "key"])
+    where, keys = rows[["value", "block"]].to_numpy(), rows["key"].tolist()
     grams, owners = rows["grams"].tolist(), rows["owner"].tolist()
     cuts = np.flatnonzero(np.r_[True, (where[1:] != where[:-1]).any(axis=1), True]).tolist()
     edges = []
@@ -266,32 +266,40 @@ def near_paragraphs(lines: DataFrame, docs: DataFrame, scratch: Scratch) -> Data
     Only verified edges make components; no bucket is gathered in one task, and no pair is left out.
     """
     each = scratch.save(lines.groupBy("key").agg(F.min(F.struct("doc_id", "h", "start", "end")).alias("at"), F.max("doc_id").alias("high"), F.first("bands").alias("bands")))
-    banded = each.select("key", F.col("at.doc_id").alias("low"), "high", F.posexplode("bands").alias("band", "value"))
+    # A band's value tells the band too. Most stand alone: those go first, by counts that are combined before the shuffle.
+    banded = each.select("key", F.col("at.doc_id").alias("low"), "high", F.explode("bands").alias("value"))
+    shared = banded.groupBy("value").agg(F.count("*").alias("n")).where("n > 1")
+    banded = scratch.save(banded.join(shared, "value"))
     members = [F.bit_xor(F.xxhash64("key", F.lit(i))).alias(f"m{i}") for i in range(2)]
-    buckets = banded.groupBy("band", "value").agg(F.count("*").alias("n"), *members, F.min("low").alias("low"), F.max("high").alias("high")).where("n > 1 AND low < high")
-    buckets = scratch.save(buckets.groupBy("n", "m0", "m1").agg(F.min(F.struct("band", "value")).alias("at")).select("at.*", F.ceil(F.col("n") / BLOCK).alias("blocks")))
+    buckets = banded.groupBy("value", "n").agg(*members, F.min("low").alias("low"), F.max("high").alias("high")).where("low < high")
+    buckets = scratch.save(buckets.groupBy("n", "m0", "m1").agg(F.min("value").alias("value")).select("value", F.ceil(F.col("n") / BLOCK).alias("blocks")))
     owner = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(-1).alias("owner")
-    block = F.pmod(F.xxhash64("key", "band", "value"), "blocks").alias("block")
-    rows = scratch.save(banded.join(buckets, ["band", "value"]).select("key", owner, "band", "value", "blocks", block))
+    block = F.pmod(F.xxhash64("key", "value"), "blocks").alias("block")
+    rows = scratch.save(banded.join(buckets, "value").select("key", owner, "value", "blocks", block))
+    scratch.drop(banded)
 
     wanted = rows.select("key").distinct().join(each, "key").select("key", "at.*")
     wanted = wanted.groupBy(F.col("doc_id").alias("_d"), F.col("h").alias("_h")).agg(F.collect_list(F.struct("key", "start", "end")).alias("parts"))
     ids = docs.select("doc_id", "h", "text")
     texts = ids.join(wanted, (ids.doc_id == wanted._d) & (ids.h == wanted._h)).select("text", "parts")
-    grams = scratch.save(texts.mapInPandas(_map_grams, "key long, grams array<long>").dropDuplicates(["key"]))
+    grams = scratch.save(texts.mapInPandas(_map_grams, "key long, grams array<long>"))
+    scratch.drop(each)
     tasks = max(1, rows.count() // (2 * BLOCK))
-    inside = rows.withColumn("_task", F.pmod(F.xxhash64("band", "value", "block"), F.lit(tasks))).join(grams, "key")
+    inside = rows.withColumn("_task", F.pmod(F.xxhash64("value", "block"), F.lit(tasks))).join(grams, "key")
     edges = scratch.save(inside.groupBy("_task").applyInPandas(_link, "a long, b long").distinct())
 
     hot = rows.where("blocks > 1")
     if hot.isEmpty():
+        scratch.drop(grams)
         return edges
     roots = connected_components(edges, scratch)
     hot = scratch.save(hot.join(roots, hot.key == roots.node, "left").withColumn("root", F.coalesce("root", "key")).drop("node"))
-    mixed = hot.groupBy("band", "value").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a < _b").select("band", "value")
-    pairs = hot.join(mixed, ["band", "value"]).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).where("block <> _other")
-    across = pairs.withColumn("_task", F.xxhash64("band", "value", F.least("block", "_other"), F.greatest("block", "_other"))).join(grams, "key")
-    return edges.union(across.groupBy("_task").applyInPandas(_link_across, "a long, b long")).distinct()
+    mixed = hot.groupBy("value").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a < _b").select("value")
+    pairs = hot.join(mixed, "value").withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).where("block <> _other")
+    across = pairs.withColumn("_task", F.xxhash64("value", F.least("block", "_other"), F.greatest("block", "_other"))).join(grams, "key")
+    more = scratch.save(across.groupBy("_task").applyInPandas(_link_across, "a long, b long").distinct())
+    scratch.drop(grams)
+    return edges.union(more)
 
 
 def _with_runs(spans: DataFrame) -> DataFrame:
@@ -314,7 +322,7 @@ def extended(hits: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     ids = docs.select("doc_id", "h", "text")
     texts = ids.join(wanted, (ids.doc_id == wanted._d) & (ids.h == wanted._h)).select("doc_id", "h", "text", "places")
     sides = texts.mapInPandas(_map_sides, "doc_id long, h long, at int, words binary, left array<long>, left_at array<int>, right array<long>, right_at array<int>")
-    sides = scratch.save(sides.dropDuplicates(["doc_id", "h", "at"]))
+    sides = scratch.save(sides)
     firsts = sides.select(F.col("doc_id").alias("first_doc_id"), F.col("h").alias("first_h"), F.col("at").alias("first_at"), F.col("words").alias("first_words"), F.col("left").alias("first_left"), F.col("right").alias("first_right"))
     both = edges.join(sides.withColumnRenamed("at", "start"), ["doc_id", "h", "start"]).join(firsts, ["first_doc_id", "first_h", "first_at"]).where("words = first_words")
 
@@ -342,7 +350,10 @@ def repeats(docs: DataFrame, windows: bool = True) -> DataFrame:
     rows = docs.select("doc_id", F.xxhash64("text").alias("h"), "text").where("text IS NOT NULL")
     slim = rows.withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.shiftrightunsigned("h", 2) + NO_ID))
 
-    lines = scratch.save(slim.mapInPandas(_map_paragraphs, "doc_id long, h long, start int, end int, n int, key long, bands array<long>"))
+    if not slim.groupBy("doc_id", "h").count().where("count > 1").isEmpty():  # rows alike in both are one text from here on
+        slim = slim.dropDuplicates(["doc_id", "h"])
+
+    lines = scratch.save(slim.mapInPandas(_map_paragraphs, "doc_id long, h long, start int, end int, key long, bands array<long>"))
     roots = connected_components(scratch.save(near_paragraphs(lines, slim, scratch)), scratch)
     least = lines.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
     placed = least.join(roots, least.key == roots.node, "left").withColumn("root", F.coalesce("root", "key"))
