@@ -26,6 +26,8 @@ OUTSIDE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar nav navbar navigation menu breadcrumb breadcrumbs footer header masthead cookie cookies consent notice alert gdpr newsletter subscribe signup login popup modal overlay social share sharing related recommended recommendations comment comments disqus respond replies reply pagination pager toolbar widget widgets search copyright skip".split()
 )
 INSIDE = frozenset("article main".split())
+#: Names that tell of a page's layout, not of what the element is.
+LAYOUT = ("has-", "with-", "no-", "without-", "is-")
 INSIDE_WORDS = frozenset("article main content entry post story articlebody".split())
 
 _TOKEN = re.compile(
@@ -118,8 +120,9 @@ def blocks(page: str | None) -> list[Block]:
         if tag in VOID or m["attrs"].endswith("/") and tag not in INSIDE | OUTSIDE and tag != "div":
             continue
         above = stack[-1] if stack else _Open("", False, False)
-        named = {w for x in _ATTR.findall(m["attrs"]) for w in _PART.findall("".join(x).lower())} if m["attrs"] else frozenset()
-        outside = above.outside or tag in OUTSIDE or (tag == "header" and not above.inside) or (not named.isdisjoint(OUTSIDE_WORDS) and tag not in ("html", "body", "article", "main") and not (tag in ("header", "h1", "h2") and above.inside))
+        names = [n for x in _ATTR.findall(m["attrs"]) for n in "".join(x).lower().split()] if m["attrs"] else ()
+        named = {w for n in names if not n.startswith(LAYOUT) for w in _PART.findall(n)}
+        outside = (above.outside and tag not in INSIDE) or tag in OUTSIDE or (tag == "header" and not above.inside) or (not named.isdisjoint(OUTSIDE_WORDS) and tag not in ("html", "body", "article", "main") and not (tag in ("header", "h1", "h2") and above.inside))
         inside = above.inside or tag in INSIDE or not named.isdisjoint(INSIDE_WORDS)
         stack.append(_Open(tag, outside, inside))
     if at < len(page):
@@ -128,47 +131,66 @@ def blocks(page: str | None) -> list[Block]:
     return out
 
 
-#: Surroundings: (words before, density before, words after, density after).
-NEAR = ((0, 0.0, 60, 0.0), (60, 0.0, 0, 0.0), (2, 1.0, 3, 1.0), (3, 1.0, 60, 0.0), (80, 0.0, 2, 1.0), (9, 0.0, 90, 0.0), (70, 0.1, 8, 0.0), (100, 0.0, 100, 0.0), (1, 0.0, 1, 0.0), (30, 0.0, 25, 0.4))
-
-#: Blocks labelled by hand whose label holds in any surroundings: (words, link density, outside, inside, heading, article).
-ANYWHERE = (
-    (1, 1.0, 1, 0, 0, 0), (6, 1.0, 1, 0, 0, 0), (9, 0.0, 1, 0, 0, 0), (14, 0.2, 1, 0, 0, 0), (40, 0.0, 1, 0, 0, 0), (90, 0.0, 1, 0, 0, 0),
-    (3, 0.0, 1, 0, 1, 0), (25, 0.0, 1, 1, 0, 0), (4, 0.0, 1, 1, 1, 0), (60, 0.05, 1, 1, 0, 0),
-    (1, 0.0, 0, 1, 0, 1), (4, 0.0, 0, 1, 1, 1), (11, 0.0, 0, 1, 1, 1), (12, 0.0, 0, 1, 0, 1), (30, 0.1, 0, 1, 0, 1), (75, 0.0, 0, 1, 0, 1),
-    (100, 0.2, 0, 1, 0, 1), (20, 0.4, 0, 1, 0, 1), (60, 0.0, 0, 0, 0, 1), (100, 0.1, 0, 0, 0, 1), (35, 0.05, 0, 0, 0, 1),
-    (2, 1.0, 0, 0, 0, 0), (5, 0.9, 0, 0, 0, 0), (30, 0.9, 0, 0, 0, 0),
+#: The training table: labelled pages, a block each in page order. The letter tells links alone (m), text (t), text with
+#: links in it (s) or a heading (h), the number the words; * marks article text, ^ an article element around the block and !
+#: a part outside the article by its element or name. Most pages have neither, so that words, links and neighbours decide.
+LABELLED = (
+    "m1 m1 m2 m1 t8 h6* t60* t45* t80* t12* t30* t7",
+    "h3 m1 m1 m1 m2 h9* t55* t70* m8* t40* t4* t65* s12 m2 m1 m1",
+    "m2 m3 t20* t50* t90* t2* t75* h4* t35* t60* h3 m5 m6 m4 m7 s6",
+    "s15 m1 m1 m1 h7* t100* t100* s40* t100* t9 m1 m1 m1 t6",
+    "t25 m1 m1 m2 m2 m1 h10* t38* s62* t27* t18* t90* h2 m6 m5 m8 t4",
+    "m1 m1 m1 t14 h5* t85* t33* m3* t58* t47* h1 s2 t12 s2 t18 s2 t9 t5",
+    "h2 m2 m1 m2 t11 m3 h12* t22* t71* t16* t64* t100* s9 m2 m2 t8",
+    "m4 m3 m5 h8* t100* t100* h3* t100* t6* t88* h4* t52* t28* h2 m9 m8 m11 m7",
+    "m1 m2 h3 m3 m4 m2 t6 h6* t44* t57* t81* t23 m2 m4 m1 m2 s7",
+    "t9 m1 m1 m1 t40* t30* t55* m2 m2 m2 m2",
+    "m2 m2 m2 h7* t15* t100* t11* t13* t60* s14* t76* t3 m1 m1 m2",
+    "m1 m1 m1 h2 t5 h4 m3 m6 m4 h9* t36* t29* t43* t51* t2 m1 t10",
+    "h4* t100* t100* t42* t8*",
+    "t5*",
+    "h6* t12*",
+    "m1 m1 h8* t9* t60* t5 m1 m1",
+    "m1! m1! m2! t9! h11^* t60^* t45^* t3^* t70^* t12!",
+    "h1! m1! m4! t23! h3^* t12^* t14! t8! t1^* t4^* t5^* t30! t2! h1! t12! t15! t4!",
+    "m1! m2! h12^* t1^* t12! ",
+    "m1! m1! t40! h5^* t100^* m9^* t35^* m2^ m3^ m2^ t90! t60! t8!",
+    "m3! h10^* s30^* t75^* h4^* t20^* s20^* t5^* m4^ m6^ m3^ h2! s3! t25! s2! t90! t6!",
+    "t8! m1! h9^* t2^* t8^* t6^* t100^* t1^* t14!",
+    "m1! m1! h12^* t12^* t10!",
+    "m2! t8! h4^* t4^* t7^* t9!",
+    "t60! t100! m1! h7* t80* t30* s35* t3! t20! s10! t40! t70!",
+    "m1! t12! h12^* t100^* t2^* t13!",
 )
 
-#: Blocks whose surroundings decide: (words, link density, words before, density before, words after, density after, outside, inside, heading, article).
-PLACED = (
-    (9, 1.0, 40, 0.0, 35, 0.0, 0, 1, 0, 1),
-    (3, 1.0, 50, 0.0, 70, 0.0, 0, 1, 0, 1),
-    (2, 1.0, 2, 1.0, 2, 1.0, 0, 1, 0, 0),
-    (3, 1.0, 1, 1.0, 2, 1.0, 0, 1, 0, 0),
-    (5, 1.0, 3, 1.0, 4, 1.0, 0, 1, 0, 0),
-    (25, 0.0, 60, 0.0, 50, 0.0, 0, 0, 0, 1),
-    (12, 0.0, 45, 0.0, 70, 0.0, 0, 0, 0, 1),
-    (3, 0.0, 70, 0.0, 80, 0.0, 0, 0, 0, 1),
-    (7, 0.0, 3, 1.0, 60, 0.0, 0, 0, 1, 1),
-    (6, 0.0, 50, 0.0, 40, 0.0, 0, 0, 1, 1),
-    (20, 0.0, 5, 0.0, 40, 0.0, 0, 0, 0, 1),
-    (18, 0.0, 40, 0.0, 4, 0.8, 0, 0, 0, 1),
-    (4, 0.0, 3, 1.0, 5, 1.0, 0, 0, 0, 0),
-    (8, 0.1, 50, 0.0, 0, 0.0, 0, 0, 0, 0),
-    (5, 0.0, 4, 0.6, 3, 0.0, 0, 0, 0, 0),
-    (2, 0.0, 3, 0.0, 2, 0.0, 0, 0, 0, 0),
-    (3, 0.0, 4, 1.0, 2, 1.0, 0, 0, 1, 0),
-    (6, 0.3, 2, 0.0, 4, 0.0, 0, 0, 0, 0),
-)
+_LABEL = re.compile(r"([mtsh])(\d+)([*^!]*)")
+_DENSITY = {"m": 1.0, "t": 0.0, "s": 0.35, "h": 0.0}
+
+
+def labelled(pages: tuple[str, ...] = LABELLED) -> np.ndarray:
+    """The table as rows of features() and, last, the label."""
+    rows = []
+    for page in pages:
+        found = _LABEL.findall(page)
+        made = [Block("", int(n), round(int(n) * _DENSITY[kind]), "!" in marks, "^" in marks, kind == "h") for kind, n, marks in found]
+        rows += [(*features(made, i), "*" in marks) for i, (_, _, marks) in enumerate(found)]
+    return np.array(rows, float)
+
+
+#: Columns of features() that tell of the blocks before and after.
+NEIGHBOURS = (2, 3, 4, 5)
+
 
-#: The training table. Word counts above 100 count as 100 in it and in the features.
-LABELLED = tuple((w, d, *near, *rest) for w, d, *rest in ANYWHERE for near in NEAR) + PLACED
+def features(found: list[Block], i: int) -> tuple[float, ...]:
+    """Words (above 100 as 100) and link density of a block, of the one before and of the one after, and its flags."""
+    near = [found[k] if 0 <= k < len(found) else None for k in (i, i - 1, i + 1)]
+    b = found[i]
+    return (*[v for x in near for v in ((min(x.words, 100), x.density) if x else (0, 0.0))], b.outside, b.inside, b.heading)
 
 
 @dataclass
 class Tree:
-    """A decision tree over the features of LABELLED, grown by Gini impurity until leaves are pure or small."""
+    """A decision tree over the features of the training table, grown by Gini impurity until leaves are pure."""
 
     column: int = -1
     limit: float = 0.0
@@ -177,7 +199,7 @@ class Tree:
     high: "Tree | None" = field(default=None, repr=False)
 
     @classmethod
-    def grow(cls, rows: np.ndarray, depth: int = 8) -> "Tree":
+    def grow(cls, rows: np.ndarray, depth: int = 12) -> "Tree":
         x, y = rows[:, :-1], rows[:, -1]
         leaf = cls(article=bool(2 * y.sum() >= len(y)))
         if depth == 0 or len(set(y.tolist())) < 2:
@@ -195,27 +217,22 @@ class Tree:
         _, c, limit, low = best
         return cls(c, limit, leaf.article, cls.grow(rows[low], depth - 1), cls.grow(rows[~low], depth - 1))
 
-    def is_article(self, features: tuple) -> bool:
-        node = self
+    def path(self, row: tuple) -> tuple[bool, list[int]]:
+        """Whether a block is article text, and the columns that were asked for it."""
+        node, asked = self, []
         while node.column >= 0:
-            node = node.low if features[node.column] <= node.limit else node.high
-        return node.article
+            asked.append(node.column)
+            node = node.low if row[node.column] <= node.limit else node.high
+        return node.article, asked
 
 
-TREE = Tree.grow(np.array(LABELLED, float))
+TREE = Tree.grow(labelled())
 
 
 def main_text(page: str | None, tree: Tree = TREE) -> str:
     """The blocks that the tree takes for article text, in page order, joined by line feeds."""
     found = blocks(page)
-    kept = []
-    for i, b in enumerate(found):
-        before = found[i - 1] if i else None
-        after = found[i + 1] if i + 1 < len(found) else None
-        near = [v for x in (before, after) for v in ((min(x.words, 100), x.density) if x else (0, 0.0))]
-        if tree.is_article((min(b.words, 100), b.density, *near, b.outside, b.inside, b.heading)):
-            kept.append(b.text)
-    return "\n".join(kept)
+    return "\n".join(b.text for i, b in enumerate(found) if tree.path(features(found, i))[0])
 
 
 @F.pandas_udf(StringType())
@@ -225,5 +242,6 @@ def main_texts(pages: pd.Series) -> pd.Series:
 
 def extract(pages: DataFrame) -> DataFrame:
     """pages with text, the main text of the whole html ('' for null, empty or article-less pages), and n_chars, its code
-    points. Every row and the other columns stay, columns of those names are replaced. Row by row, no shuffle."""
+    points. Every row and the other columns stay, repeated rows alike; columns of those names are replaced, and an empty table
+    gives no rows. Row by row, no shuffle."""
     return pages.withColumn("text", main_texts("html")).withColumn("n_chars", F.length("text").cast("long"))

@@ -409,6 +409,59 @@ def test_pages_without_article_tags_and_broken_ones():
     assert html_text.main_text("<article><p>cut off in the mid") == "cut off in the mid"
 
 
+def nameless(rng):
+    """A page of plain divs: blocks of html and whether they are article text."""
+    prose = lambda lo, hi: " ".join(words_of(rng, rng.randint(lo, hi)))
+    links = lambda n: [(f"<a href=x>{prose(1, 3)}</a>", False) for _ in range(n)]
+    out = [(prose(5, 12), False)] * (rng.random() < 0.4) + links(rng.randint(3, 8))
+    if rng.random() < 0.6:
+        out.append((f"<h1>{prose(5, 12)}</h1>", True))
+    for _ in range(rng.randint(3, 9)):
+        out.append((prose(25, 120), True))
+        if rng.random() < 0.2:
+            out.append((prose(3, 9), True))
+            out.append((prose(40, 90), True))
+        if rng.random() < 0.15:
+            out += [(f"<h2>{prose(2, 6)}</h2>", True), (prose(40, 90), True)]
+    out += links(rng.randint(0, 6)) + ([(prose(4, 9), False)] if rng.random() < 0.6 else [])
+    return out
+
+
+def test_layouts_without_helpful_names():
+    rng = random.Random(15)
+    right = total = by_neighbours = 0
+    for _ in range(300):
+        made = nameless(rng)
+        found = html_text.blocks("<body>" + "".join(f"<div>{b}</div>" for b, _ in made))
+        assert len(found) == len(made)
+        for i, (_, want) in enumerate(made):
+            got, asked = html_text.TREE.path(html_text.features(found, i))
+            right += got == want
+            by_neighbours += bool(set(asked) & set(html_text.NEIGHBOURS))
+            total += 1
+    assert right >= 0.95 * total and by_neighbours >= 0.5 * total
+
+
+def test_neighbours_decide():
+    links = "".join(f"<div><a href=x>link {i}</a></div>" for i in range(4))
+    prose = "".join(f"<div>{'word ' * n}</div>" for n in (60, 45, 80))
+    block = "<div>A block of seven words in all.</div>"
+    assert "seven" in html_text.main_text(f"<body>{links}{prose}{block}{prose}{links}")
+    assert "seven" not in html_text.main_text(f"<body>{links}{block}{links}{prose}{links}")
+
+
+def test_layout_words_are_no_sidebars():
+    prose = "".join(f"<p>{'word ' * n}</p>" for n in (60, 45, 80))
+    for wrapper in ("<div class='layout has-sidebar'>", "<div class='no-footer'>", "<div class='sidebar'><article>"):
+        assert len(html_text.main_text(f"<body>{wrapper}{prose}").split()) == 185
+    assert html_text.main_text(f"<body><article>{prose}</article><div class='sidebar'><p>{'other ' * 30}</p></div>").count("other") == 0
+
+
+def test_very_long_page():
+    page = "<body><nav><a href=x>One</a></nav><article>" + "".join(f"<p>{'word ' * 50}{i}</p>" for i in range(20_000)) + "</article>"
+    assert html_text.main_text(page).count("\n") == 19_999
+
+
 def test_given_pages(spark):
     for r in spark.read.parquet(f"{DATA}/pages.parquet").collect():
         inner = r.html.split("<article>")[1].split("</article>")[0].split("<footer>")[0]
