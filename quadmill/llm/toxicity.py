@@ -27,10 +27,10 @@ PRIOR = 0.1
 MAX_PRIOR = 0.4
 _WORD = re.compile(r"[^\W\d_]+")
 #: Words whose features a worker remembers.
-_REMEMBER = 200_000
+_REMEMBER = 50_000
 
 
-@functools.lru_cache(1 << 16)
+@functools.lru_cache(1 << 14)
 def _beginning(letters: str) -> int:
     return zlib.crc32(b"%d" % len(letters) + letters.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1)
 
