@@ -79,14 +79,23 @@ STAGES = [
 ORACLE_SQL = None
 
 
+#: Rows that a Python worker gets at once while run() works. Texts may be long.
+BATCH = 1_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     scratch = Scratch(spark, "pipeline")
-    last = None
-    for _, stage in STAGES:
-        with cleared():
-            out = scratch.save(stage(spark, docs, sf_dir))
-        if last is not None:
-            scratch.drop(last)
-        docs = last = out
+    last, given = None, spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(BATCH))
+    try:
+        for _, stage in STAGES:
+            with cleared():
+                out = scratch.save(stage(spark, docs, sf_dir))
+            if last is not None:
+                scratch.drop(last)
+            docs = last = out
+    finally:
+        spark.conf.set(_BATCH, given)
     return docs
