@@ -49,6 +49,13 @@ def varints(values: np.ndarray) -> bytes:
     return (cols | more.astype(np.uint8) << 7)[used].tobytes()
 
 
+def point_geometries(pixels: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The geometries of many points one after another, and the bytes of each."""
+    numbers = np.column_stack([np.full(len(pixels), MOVE_TO | 1 << 3, np.int64), zigzag(pixels)])
+    sizes = 1 + sum((numbers >> 7 * i > 0).astype(int) for i in range(1, 5))
+    return varints(numbers.ravel()), sizes.sum(axis=1)
+
+
 def zigzag(n: np.ndarray) -> np.ndarray:
     n = np.asarray(n, np.int64)
     return (n << 1) ^ (n >> 63)

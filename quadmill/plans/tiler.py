@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tilemath as tm
+from ..functions.hashing import keep_point
 from ..operators import curves, geom, kernels, mvt
 from ..operators.pmtiles import ArchiveInfo, Codec, compress
 from ..sources.geoparquet import features, field_types
@@ -52,14 +53,16 @@ def _keyed(config: TileConfig, fields: list[str], kinds: dict[str, str]):
             key = (curves.hilbert_keys if config.curve == "hilbert" else curves.zorder_keys)(wx, wy)
             rows = [tuple(r) for r in b[fields].astype(object).where(b[fields].notna(), None).itertuples(index=False)] if fields else []
             props = [pack(rows[i]) for i in at] if fields else [b""] * len(at)
-            yield pd.DataFrame({"key": curves.as_sortable(key), "wkb": b["wkb"].iloc[at].tolist(), "xmin": box[:, 0], "ymin": box[:, 1], "xmax": box[:, 2], "ymax": box[:, 3], "props": props})
+            yield pd.DataFrame({"kind": np.array([shapes[i].kind for i in at], np.int32), "key": curves.as_sortable(key), "wkb": b["wkb"].iloc[at].tolist(), "xmin": box[:, 0], "ymin": box[:, 1], "xmax": box[:, 2], "ymax": box[:, 3], "props": props})
 
     return run
 
 
 def number_features(keyed: DataFrame, tables: Tables) -> DataFrame:
     """Adds feature_id, the rank by (key, wkb, props) from 0. Range partitions are sorted and written once, with each row's
-    place in its partition; the counts of the partitions before give the offset. No global window."""
+    place in its partition; the counts of the partitions before give the offset. No global window. Features are written
+    before they are ranged, since finding the ranges reads them too."""
+    keyed = tables.save(keyed)
     parts = keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")
     order = ["key", F.xxhash64("wkb"), "wkb", "props"]
     rows = keyed.repartitionByRange(int(parts), "key", F.xxhash64("wkb")).sortWithinPartitions(*order)
@@ -81,13 +84,21 @@ def tile_ranges_of(box: dict[str, Column], z: Column, config: TileConfig) -> dic
     return {"x0": x0, "x1": x1, "y0": y0, "y1": y1}
 
 
-def work_units(numbered: DataFrame, config: TileConfig) -> DataFrame:
-    """A row for each feature, zoom and slab of columns (and rows, where a column alone is long): generate, not a join."""
-    zooms = numbered.withColumn("z", F.explode(F.sequence(F.lit(config.min_zoom), F.lit(config.max_zoom))))
+def work_units(numbered: DataFrame, config: TileConfig, only: tuple[int, int, int] | None = None) -> DataFrame:
+    """A row for each feature, zoom and slab of columns (and rows, where a column alone is long): generate, not a join. Points
+    that thinning drops at a zoom have none there. alone: the feature has no other unit at the zoom. With `only`, (z, x, y), units of that tile alone."""
+    low, high = (only[0], only[0]) if only else (config.min_zoom, config.max_zoom)
+    zooms = numbered.withColumn("z", F.explode(F.sequence(F.lit(low), F.lit(high))))
+    zooms = zooms.where(~F.col("kind").isin(geom.POINT, geom.MULTIPOINT) | keep_point(F.col("feature_id"), F.col("z"), config.max_zoom))
     box = {k: F.col(k) for k in ("xmin", "ymin", "xmax", "ymax")}
     units = zooms.withColumns(tile_ranges_of(box, F.col("z"), config))
+    if only:
+        _, x, y = only
+        units = units.where(F.lit(x).between(F.col("x0"), F.col("x1")) & F.lit(y).between(F.col("y0"), F.col("y1")))
+        units = units.withColumns({"x0": F.lit(x).cast("long"), "x1": F.lit(x).cast("long"), "y0": F.lit(y).cast("long"), "y1": F.lit(y).cast("long")})
     high = F.least(F.col("y1") - F.col("y0") + 1, F.lit(UNIT_TILES))
     units = units.withColumn("_high", high).withColumn("_wide", F.greatest(F.lit(1), F.floor(F.lit(UNIT_TILES) / F.col("_high"))))
+    units = units.withColumn("alone", (F.col("x1") - F.col("x0") < F.col("_wide")) & (F.col("y1") - F.col("y0") < F.col("_high")))
     units = units.withColumn("ux0", F.explode(F.expr("sequence(x0, x1, _wide)"))).withColumn("uy0", F.explode(F.expr("sequence(y0, y1, _high)")))
     return units.withColumns({"ux1": F.least(F.col("x1"), F.col("ux0") + F.col("_wide") - 1), "uy1": F.least(F.col("y1"), F.col("uy0") + F.col("_high") - 1)}).drop("x0", "x1", "y0", "y1", "_high", "_wide")
 
@@ -98,16 +109,47 @@ PIECES = "tile_id long, z int, x long, y long, feature_id long, kind int, geomet
 def _cut(config: TileConfig):
     """For mapInPandas over work units: the clipped, validated, thinned and encoded piece for each tile.
 
-    A unit's columns are cut once and their rows from that; the order of edges is the same as tile by tile."""
+    A unit's columns are cut once and their rows from that; the order of edges is the same as tile by tile. Points that
+    meet one tile, which thinning has left by then, are done all at once."""
     density = config.max_per_cell is not None
     grid = config.extent // config.cell_size
 
     def cell(v: float) -> int:
         return min(int(max(v, 0.0)) // config.cell_size, grid - 1)
 
+    def identified(d: pd.DataFrame) -> pd.DataFrame:
+        ids = np.zeros(len(d), np.int64)
+        for z in d["z"].unique().tolist():
+            m = (d["z"] == z).to_numpy()
+            ids[m] = ((1 << 2 * z) - 1) // 3 + curves.hilbert_keys(d["x"].to_numpy()[m].astype(np.uint64), d["y"].to_numpy()[m].astype(np.uint64), z).astype(np.int64)
+        d.insert(0, "tile_id", ids)
+        return d.astype({"cx": "Int32", "cy": "Int32"})
+
+    def points(b: pd.DataFrame) -> pd.DataFrame:
+        tiles, of = np.unique(b[["z", "ux0", "uy0"]].to_numpy(np.int64), axis=0, return_inverse=True)
+        boxes = np.array([curves.tile_box(*t) for t in tiles.tolist()]).reshape(-1, 4)
+        reach = np.array([kernels.buffered(t, config.buffer, config.extent) for t in boxes.tolist()]).reshape(-1, 4)[of.ravel()].T
+        tile, at = boxes[of.ravel()].T, b[["xmin", "ymin"]].to_numpy(float)
+        inside = (reach[0] <= at[:, 0]) & (at[:, 0] <= reach[2]) & (reach[1] <= at[:, 1]) & (at[:, 1] <= reach[3])
+        b, at, tile = b[inside], at[inside], tile[:, inside]
+        raw, sizes = mvt.point_geometries(mvt.pixels(at, tile, config.extent))
+        ends = np.cumsum(sizes).tolist()
+        out = b[["z", "ux0", "uy0", "feature_id"]].rename(columns={"ux0": "x", "uy0": "y"})
+        out = out.assign(kind=mvt.POINTS, geometry=[raw[i:j] for i, j in zip([0, *ends], ends)], props=b["props"], cx=None, cy=None)
+        if density:
+            cells = np.minimum(np.maximum(kernels.to_pixels(tile, config.extent)(at), 0).astype(np.int64) // config.cell_size, grid - 1)
+            base = (b["z"] < config.max_zoom).to_numpy()
+            out["cx"], out["cy"] = pd.array(np.where(base, cells[:, 0], 0), "Int32"), pd.array(np.where(base, cells[:, 1], 0), "Int32")
+            out.loc[~base, ["cx", "cy"]] = pd.NA
+        return out
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last_wkb, shape, simple = None, None, {}
         for b in batches:
+            quick = ((b["kind"] == geom.POINT) & (b["ux0"] == b["ux1"]) & (b["uy0"] == b["uy1"])).to_numpy()
+            if quick.any():
+                yield identified(points(b[quick]))
+                b = b[~quick]
             out: list[tuple] = []
             for u in b.itertuples(index=False):
                 if u.wkb is not last_wkb and u.wkb != last_wkb:
@@ -142,30 +184,26 @@ def _cut(config: TileConfig):
                             p = kernels.to_pixels(tile, config.extent)(np.array([mid]))[0]
                             cx, cy = cell(p[0]), cell(p[1])
                         out.append((u.z, x, y, u.feature_id, kind, mvt.varints(numbers), u.props, cx, cy))
-            d = pd.DataFrame(out, columns=["z", "x", "y", "feature_id", "kind", "geometry", "props", "cx", "cy"])
-            ids = np.zeros(len(d), np.int64)
-            for z in d["z"].unique().tolist():
-                m = (d["z"] == z).to_numpy()
-                ids[m] = ((1 << 2 * z) - 1) // 3 + curves.hilbert_keys(d["x"].to_numpy()[m].astype(np.uint64), d["y"].to_numpy()[m].astype(np.uint64), z).astype(np.int64)
-            d.insert(0, "tile_id", ids)
-            yield d.astype({"cx": "Int32", "cy": "Int32"})
+            yield identified(pd.DataFrame(out, columns=["z", "x", "y", "feature_id", "kind", "geometry", "props", "cx", "cy"]))
 
     return run
 
 
-def tile_pieces(df: DataFrame, config: TileConfig, tables: Tables | None = None) -> tuple[DataFrame, DataFrame, list[str]]:
-    """(pieces, numbered features, attribute names). pieces: a row for each feature and tile, encoded; see PIECES."""
+def tile_pieces(df: DataFrame, config: TileConfig, tables: Tables | None = None, only: tuple[int, int, int] | None = None) -> tuple[DataFrame, DataFrame, list[str]]:
+    """(pieces, numbered features, attribute names). pieces: a row for each feature and tile, encoded; see PIECES. With `only`,
+    (z, x, y), pieces of that tile alone."""
     tables = tables or Tables(df.sparkSession)
     kinds = field_types(df.schema)
     fields = config.properties.filter_fields(kinds) if config.encode_properties else []
     feats = features(df, config.geometry_column, fields, config.geometry_encoding)
     types = {c: feats.schema[c].dataType.simpleString() for c in fields if c in feats.columns}
     fields = list(types)
-    keyed = feats.mapInPandas(_keyed(config, fields, types), "key long, wkb binary, xmin double, ymin double, xmax double, ymax double, props binary")
+    keyed = feats.mapInPandas(_keyed(config, fields, types), "kind int, key long, wkb binary, xmin double, ymin double, xmax double, ymax double, props binary")
     numbered = number_features(keyed, tables)
-    # Neighbours on the curve have neighbouring sizes; units are dealt anew so that large features spread.
-    units = work_units(numbered, config).repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "feature_id", "z", "ux0", "uy0")
-    pieces = units.mapInPandas(_cut(config), PIECES)
+    # A feature with one unit at a zoom is cut where it lies; the units of larger ones are dealt anew, so that they spread.
+    units = work_units(numbered, config, only)
+    dealt = units.where("NOT alone").repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "feature_id", "z", "ux0", "uy0")
+    pieces = units.where("alone").mapInPandas(_cut(config), PIECES).union(dealt.mapInPandas(_cut(config), PIECES))
     if config.max_per_cell is not None:
         w = Window.partitionBy("tile_id", "cx", "cy").orderBy("feature_id")
         pieces = pieces.withColumn("_n", F.row_number().over(w)).where(F.col("cx").isNull() | (F.col("_n") <= config.max_per_cell)).drop("_n")
@@ -175,7 +213,7 @@ def tile_pieces(df: DataFrame, config: TileConfig, tables: Tables | None = None)
 def encode_tiles(pieces: DataFrame, config: TileConfig, fields: list[str]) -> DataFrame:
     """(tile_id, z, x, y, data, feature_count), a row for each tile, range-partitioned and sorted by tile_id.
 
-    Pieces come sorted, and a tile is put together while its pieces pass, across batches; nothing gathers a tile's rows.
+    pieces are a written table, since finding the ranges reads them too. They come sorted, and a tile is put together while its pieces pass, across batches; nothing gathers a tile's rows.
     """
     layer, extent = config.layer, config.extent
 
@@ -209,16 +247,17 @@ def encode_tiles(pieces: DataFrame, config: TileConfig, fields: list[str]) -> Da
 
 def generate_tiles(df: DataFrame, config: TileConfig | None = None) -> DataFrame:
     """The tiles of a DataFrame of features, uncompressed: (tile_id, z, x, y, data, feature_count)."""
-    config = config or TileConfig()
-    pieces, _, fields = tile_pieces(df, config)
-    return encode_tiles(pieces, config, fields)
+    config, tables = config or TileConfig(), Tables(df.sparkSession)
+    pieces, _, fields = tile_pieces(df, config, tables)
+    return encode_tiles(tables.save(pieces), config, fields)
 
 
 def generate_single_tile(df: DataFrame, z: int, x: int, y: int, config: TileConfig | None = None) -> DataFrame:
-    """One tile: only features that reach it are cut."""
+    """One tile. All features are numbered, since ids are ranks; only those whose box reaches the tile are cut, for it alone."""
     config = (config or TileConfig()).with_(min_zoom=z, max_zoom=max(z, (config or TileConfig()).max_zoom))
-    pieces, _, fields = tile_pieces(df, config.with_(min_zoom=z))
-    return encode_tiles(pieces.where((F.col("z") == z) & (F.col("x") == x) & (F.col("y") == y)), config, fields)
+    tables = Tables(df.sparkSession)
+    pieces, _, fields = tile_pieces(df, config, tables, (z, x, y))
+    return encode_tiles(tables.save(pieces), config, fields)
 
 
 def dataset_bounds(numbered: DataFrame) -> tuple[float, float, float, float] | None:
