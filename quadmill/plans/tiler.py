@@ -85,11 +85,10 @@ def tile_ranges_of(box: dict[str, Column], z: Column, config: TileConfig) -> dic
 
 
 def work_units(numbered: DataFrame, config: TileConfig, only: tuple[int, int, int] | None = None) -> DataFrame:
-    """A row for each feature, zoom and slab of columns (and rows, where a column alone is long): generate, not a join. Points
-    that thinning drops at a zoom have none there. alone: the feature has no other unit at the zoom. With `only`, (z, x, y), units of that tile alone."""
+    """A row for each feature, zoom and slab of columns (and rows, where a column alone is long): generate, not a join.
+    alone: the feature has no other unit at the zoom. With `only`, (z, x, y), units of that tile alone."""
     low, high = (only[0], only[0]) if only else (config.min_zoom, config.max_zoom)
     zooms = numbered.withColumn("z", F.explode(F.sequence(F.lit(low), F.lit(high))))
-    zooms = zooms.where(~F.col("kind").isin(geom.POINT, geom.MULTIPOINT) | keep_point(F.col("feature_id"), F.col("z"), config.max_zoom))
     box = {k: F.col(k) for k in ("xmin", "ymin", "xmax", "ymax")}
     units = zooms.withColumns(tile_ranges_of(box, F.col("z"), config))
     if only:
@@ -202,6 +201,7 @@ def tile_pieces(df: DataFrame, config: TileConfig, tables: Tables | None = None,
     numbered = number_features(keyed, tables)
     # A feature with one unit at a zoom is cut where it lies; the units of larger ones are dealt anew, so that they spread.
     units = work_units(numbered, config, only)
+    units = units.where(~F.col("kind").isin(geom.POINT, geom.MULTIPOINT) | keep_point(F.col("feature_id"), F.col("z"), config.max_zoom))
     dealt = units.where("NOT alone").repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "feature_id", "z", "ux0", "uy0")
     pieces = units.where("alone").mapInPandas(_cut(config), PIECES).union(dealt.mapInPandas(_cut(config), PIECES))
     if config.max_per_cell is not None:
