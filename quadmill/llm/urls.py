@@ -136,8 +136,8 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     Where a rule fits, its verdict holds. All URLs are examples for two character models: of rejected ones, which a rule
     blocks or which have a listed word in their host, and of the others, which count as accepted. A URL that no rule fits is
     blocked where the mean log-likelihood ratio of its characters exceeds the threshold: the score that FALSE_REJECTS of the
-    held-out accepted URLs exceed, and at least 0. Null
-    and unusual URLs have an empty host and path, fit no rule, have no score and are allowed. Repeated rows are judged
+    held-out accepted URLs exceed, and at least 0. Null URLs and those without :// have an empty host and path; they, and all
+    others without a host, fit no rule, have no score and are allowed. An empty table gives no rows. Repeated rows are judged
     alike; columns of the new names are replaced and those that begin with an underscore left out; other columns aren't shuffled with the characters.
     """
     scratch = Scratch(pages.sparkSession, "urls")
@@ -146,9 +146,9 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     rows = rows.withColumn("_text", shown(max([rule.count("/") - 1 for rule, _ in rules], default=0)))
     listed = F.arrays_overlap(F.split("host", "[.-]"), F.array(*[F.lit(x) for x in REJECTED]))
     models = train(rows.where("host <> ''").select("_text", F.coalesce("_label", F.when(listed, "block").otherwise("allow")).alias("label")), scratch)
-    score = scores(rows.where("_label IS NULL").select("_text").distinct(), models.ratio, "_text").withColumnRenamed("_text", "_scored")
+    score = scores(rows.where("_label IS NULL AND host <> ''").select("_text").distinct(), models.ratio, "_text").withColumnRenamed("_text", "_scored")
     # Decided rows need no score; their keys match none and differ, so that they don't meet in one task.
-    key = F.when(F.col("_label").isNull(), F.col("_text")).otherwise(F.concat(F.lit("\0"), F.xxhash64("url").cast("string")))
+    key = F.when(F.col("_label").isNull() & (F.col("host") != ""), F.col("_text")).otherwise(F.concat(F.lit("\0"), F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]).cast("string")))
     out = rows.join(score, key == F.col("_scored"), "left").drop("_text", "_scored")
     threshold = models.threshold.first()[0]
     verdict = F.coalesce("_label", F.when(F.col("score") > threshold, F.lit("block")).otherwise(F.lit("allow")))

@@ -80,7 +80,7 @@ def test_no_items_contaminate_nothing(spark):
     assert out.where("contaminated OR n_hit > 0 OR n_items > 0").count() == 0
 
 
-@pytest.mark.parametrize("rows", [[], [(1, None, "h"), (None, "no scheme", "h"), (2, "http://A.net/x", None), (2, "http://A.net/x", None), (3, "://", ""), (4, "http://" + "a" * 50_000 + ".org/fr/", "")]])
+@pytest.mark.parametrize("rows", [[], [(1, None, "h"), (None, "no scheme", "h"), (2, "http://A.net/x", None), (2, "http://A.net/x", None), (3, "://", ""), (5, "file:///casino/x", ""), (4, "http://" + "a" * 50_000 + ".org/fr/", "")]])
 def test_pages(spark, rows):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"label": F.lit(1), "_text": F.lit(2), "score": F.lit(3), "text": F.lit("t")})
     out = urls.judge(pages).collect()
@@ -90,6 +90,8 @@ def test_pages(spark, rows):
             assert (r.host, r.path, r.rule, r.verdict) == ("a.net", "/x", "net/", "block")
         if r.page_id in (1, None):
             assert (r.host, r.path, r.rule, r.verdict) == ("", "", None, "allow")
+        if r.page_id == 5:
+            assert (r.host, r.path, r.rule, r.score, r.verdict) == ("", "/casino/x", None, None, "allow")
     assert [r.text for r in html_text.extract(pages).where("html IS NULL").collect()] == [""] * sum(h is None for _, _, h in rows)
 
 
