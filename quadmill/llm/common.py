@@ -127,6 +127,22 @@ def cleared() -> Iterator[None]:
         _made.reset(token)
 
 
+#: Rows that a Python worker gets at once where texts go to Python; they may be long.
+BATCH = 1_000
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Python workers get BATCH rows at once, for what is run and not only planned within it."""
+    given = spark.conf.get(BATCH_SETTING)
+    spark.conf.set(BATCH_SETTING, str(BATCH))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_SETTING, given)
+
+
 def _are_stars(edges: DataFrame) -> bool:
     """Whether every a has one b and no b is an a."""
     ends = edges.select(F.col("a").alias("v"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("b", F.lit(0), F.lit(1)))

@@ -9,17 +9,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
-from .common import Scratch, connected_components, own_names
+from .common import Scratch, connected_components, own_names, small_batches
 
 #: Lines of fewer words count as short: runs of them are paragraphs too.
 MIN_WORDS = 25
 #: Words of a shingle, and so of the shortest paragraph that counts.
 SHINGLE = 5
 JACCARD = 0.8
-#: A pair of similarity JACCARD meets in one of BANDS bands of ROWS minima: 1 - (1 - 0.8 ** 3) ** 5 = 0.972.
-BANDS, ROWS = 5, 3
+#: A pair of similarity JACCARD meets in one of BANDS bands of ROWS minima: 1 - (1 - 0.8 ** 3) ** 7 = 0.993.
+BANDS, ROWS = 7, 3
 #: Paragraphs of a bucket that are compared at once; larger buckets are cut into blocks.
 BLOCK = 500
 #: Rows without a doc_id get numbers from here on; doc_ids are smaller.
@@ -135,7 +134,9 @@ def paragraphs(text: str | None) -> tuple[np.ndarray, ...]:
         return none, none, none, none.view(np.uint64), np.zeros((0, BANDS), np.uint64)
     with np.errstate(over="ignore"):
         least = _least_per_line(t.windows(0, len(t.hashes), SHINGLE), lo, hi - SHINGLE + 1).reshape(-1, BANDS, ROWS)
-        bands = _mix(least[:, :, 0] * _P + least[:, :, 1] + np.arange(BANDS, dtype=np.uint64))
+        bands = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), least.shape[:2])
+        for row in range(ROWS):
+            bands = _mix(bands * _P + least[:, :, row])
         keys = _spans(t.hashes, lo, hi, _WORDS)
     return t.starts[lo], t.ends[hi - 1], hi - lo, keys, bands
 
@@ -341,18 +342,8 @@ def extended(hits: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     return both.groupBy("doc_id", "h", "run", "first_doc_id", "first_h").agg(F.min(end("left", "start")).alias("start"), F.max(end("right", "end")).alias("end")).select("doc_id", "h", "first_doc_id", "start", "end")
 
 
-def repeats(docs: DataFrame, windows: bool = True) -> DataFrame:
-    """(doc_id, h, first_doc_id, start, end): byte spans of texts that repeat what an earlier document has, h the text's
-    hash. Earlier is the smaller doc_id; first_doc_id is an earlier document that has it, for paragraphs the first.
-
-    Paragraphs are the units() of a text, its lines first of all; those of different documents linked by Jaccard form components,
-    and of each component all but the documents that come first (the smallest doc_id, null last) lose the paragraph. Passages
-    repeat word for word, and are left out without `windows`. Repeats inside one document are left. Rows with null doc_id come last, each text of theirs a
-    document of its own, in the order of their hashes; doc_ids are below 2 ** 62. Null and empty texts have no spans, an
-    empty table no rows; rows of one doc_id are one document, and repeated rows have the same spans. Other columns of docs
-    are not read, whatever their names.
-    """
-    scratch = Scratch(docs.sparkSession, "repeats")
+def _found(docs: DataFrame, windows: bool, scratch: Scratch) -> DataFrame:
+    """The spans of repeats(), not merged yet, with numbers for missing ids. All that runs Python is written within it."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("h"), "text").where("text IS NOT NULL")
     slim = rows.withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.shiftrightunsigned("h", 2) + NO_ID))
 
@@ -367,33 +358,42 @@ def repeats(docs: DataFrame, windows: bool = True) -> DataFrame:
     named = placed.join(first.where("first_doc_id < last"), "root").select("key", "first_doc_id")
     whole = lines.join(named, "key").where("doc_id > first_doc_id").select("doc_id", "h", "first_doc_id", "start", "end")
 
-    found = whole
     if windows:
         chosen = slim.mapInPandas(_map_passages, "doc_id long, h long, start int, end int, key long, known long, known_h long, known_start int, settled boolean")
         spread = F.when(F.col("settled"), F.xxhash64("doc_id", "start"))  # settled rows need no meeting
         least = F.min(F.struct("doc_id", "h", "start")).over(Window.partitionBy("key", "spread"))
         known = F.struct(F.col("known").alias("doc_id"), F.col("known_h").alias("h"), F.col("known_start").alias("start"))
         chosen = chosen.withColumn("spread", spread).withColumn("first", F.when(F.col("settled"), known).otherwise(least))
-        found = whole.union(extended(chosen.where("doc_id > first.doc_id").select("doc_id", "h", "first", "start", "end"), slim, scratch))
+        return whole.union(extended(chosen.where("doc_id > first.doc_id").select("doc_id", "h", "first", "start", "end"), slim, scratch))
+    return whole
+
+
+def repeats(docs: DataFrame, windows: bool = True) -> DataFrame:
+    """(doc_id, h, first_doc_id, start, end): byte spans of texts that repeat what an earlier document has, h the text's
+    hash. Earlier is the smaller doc_id; first_doc_id is an earlier document that has it, for paragraphs the first.
+
+    Paragraphs are the units() of a text, its lines first of all; those of different documents linked by Jaccard form components,
+    and of each component all but the documents that come first (the smallest doc_id, null last) lose the paragraph. Passages
+    repeat word for word, and are left out without `windows`. Repeats inside one document are left. Rows with null doc_id come last, each text of theirs a
+    document of its own, in the order of their hashes; doc_ids are below 2 ** 62. Null and empty texts have no spans, an
+    empty table no rows; rows of one doc_id are one document, and repeated rows have the same spans. Other columns of docs
+    are not read, whatever their names.
+    """
+    scratch = Scratch(docs.sparkSession, "repeats")
+    with small_batches(docs.sparkSession):
+        found = _found(docs, windows, scratch)
     merged = _with_runs(found).groupBy("doc_id", "h", "run").agg(F.min("first_doc_id").alias("first_doc_id"), F.min("start").alias("start"), F.max("end").alias("end"))
     null = lambda c: F.when(F.col(c) < NO_ID, F.col(c)).alias(c)
     return merged.select(null("doc_id"), "h", null("first_doc_id"), "start", "end")
 
 
-@F.pandas_udf(StringType())
-def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
-    out = []
-    for text, cuts in zip(texts, spans):
-        if cuts is None or text is None:
-            out.append(text)
-            continue
-        raw, at, kept = text.encode("utf-8", "surrogatepass"), 0, []
-        for s in sorted(cuts, key=lambda s: s["start"]):
-            kept.append(raw[at : s["start"]])
-            at = s["end"]
-        kept.append(raw[at:])
-        out.append(b"".join(kept).decode("utf-8", "surrogatepass"))
-    return pd.Series(out, dtype=object)
+def cut(text: Column, spans: Column) -> Column:
+    """text without its bytes [start, end) of spans, which are sorted and apart from each other."""
+    raw = text.cast("binary")
+    starts = F.concat(F.array(F.lit(0)), F.transform(spans, lambda s: s["end"]))
+    ends = F.concat(F.transform(spans, lambda s: s["start"]), F.array(F.octet_length(text)))
+    kept = F.zip_with(starts, ends, lambda a, b: raw.substr(a + 1, b - a).cast("string"))
+    return F.array_join(kept, "")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -401,9 +401,9 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     column n_chars, if there is one, is brought up to date. Columns that begin with an underscore are left out."""
     docs = own_names(docs)
     found = repeats(docs)
-    per = found.groupBy(F.col("doc_id").alias("_d"), F.col("h").alias("_h")).agg(F.collect_list(F.struct("start", "end")).alias("_cuts"))
+    per = found.groupBy(F.col("doc_id").alias("_d"), F.col("h").alias("_h")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_cuts"))
     out = docs.join(per, docs.doc_id.eqNullSafe(per._d) & (F.xxhash64(docs.text) == per._h), "left")
-    out = out.withColumn("text", F.when(F.col("_cuts").isNull(), F.col("text")).otherwise(cut("text", "_cuts")))
+    out = out.withColumn("text", F.when(F.col("_cuts").isNull(), F.col("text")).otherwise(cut(F.col("text"), F.col("_cuts"))))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
