@@ -10,18 +10,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadmill.llm import decontaminate, mixing, simhash, substrings, toxicity
-from quadmill.llm.common import Scratch, aside, cleared
+from quadmill.llm.common import BATCH, BATCH_SETTING, Scratch, aside, cleared, small_batches
 
 #: Any word, between ASCII white space.
 WORD = r"[^\x20\x09-\x0D]"
 
 
+def _lasting_small_batches(spark: SparkSession) -> None:
+    """Python workers get BATCH rows at once from here on: what a stage returns runs after the stage's function. run() sets it back."""
+    spark.conf.set(BATCH_SETTING, str(BATCH))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on the labels outside the held-out fold, scores below 0.5.
 
     Null and empty texts have the score of a text without features, the class prior's at most, and stay; rows without id are
     scored like any other. Equal texts have equal scores, so repeated rows stay or go together. Without labels all stay.
     """
+    _lasting_small_batches(spark)
     docs, back = aside(docs, "doc_id", "text")
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return back(toxicity.score(docs, model).where("score < 0.5"))
@@ -30,6 +36,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component, the one with the smallest doc_id, null last; among equal ids the one with the
     smallest text hash, and one of rows that are alike in both. All null and empty texts are copies of each other."""
+    _lasting_small_batches(spark)
     docs, back = aside(docs, "doc_id", "text")
     return back(simhash.one_of_each(docs))
 
@@ -79,23 +86,14 @@ STAGES = [
 ORACLE_SQL = None
 
 
-#: Rows that a Python worker gets at once while run() works. Texts may be long.
-BATCH = 1_000
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     scratch = Scratch(spark, "pipeline")
-    last, given = None, spark.conf.get(_BATCH)
-    spark.conf.set(_BATCH, str(BATCH))
-    try:
-        for _, stage in STAGES:
-            with cleared():
-                out = scratch.save(stage(spark, docs, sf_dir))
-            if last is not None:
-                scratch.drop(last)
-            docs = last = out
-    finally:
-        spark.conf.set(_BATCH, given)
+    last = None
+    for _, stage in STAGES:
+        with cleared(), small_batches(spark):
+            out = scratch.save(stage(spark, docs, sf_dir))
+        if last is not None:
+            scratch.drop(last)
+        docs = last = out
     return docs
