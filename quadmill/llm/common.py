@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager
 from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -71,6 +71,23 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """The session's setting `name` is value within it, for what is run and not only planned there."""
+    given = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        if given is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, given)
+
+
+#: Shuffle files go as soon as the write that made them has ended, not when the driver's JVM collects its garbage.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _made: ContextVar[list | None] = ContextVar("scratch", default=None)
 _left: list["Scratch"] = []
 
@@ -90,7 +107,8 @@ class Scratch:
     def save(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n}"
-        df.write.parquet(path)
+        with setting(self.spark, SHUFFLE_CLEANUP, "true"):
+            df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
         return out
@@ -132,15 +150,9 @@ BATCH = 1_000
 BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-@contextmanager
-def small_batches(spark: SparkSession) -> Iterator[None]:
+def small_batches(spark: SparkSession) -> AbstractContextManager[None]:
     """Python workers get BATCH rows at once, for what is run and not only planned within it."""
-    given = spark.conf.get(BATCH_SETTING)
-    spark.conf.set(BATCH_SETTING, str(BATCH))
-    try:
-        yield
-    finally:
-        spark.conf.set(BATCH_SETTING, given)
+    return setting(spark, BATCH_SETTING, str(BATCH))
 
 
 def _are_stars(edges: DataFrame) -> bool:
