@@ -126,3 +126,18 @@ def test_pipeline_runs_through(spark, tables):
     assert not left  # the operators' tables go when a stage is written
     assert {r.doc_id for r in out} <= {1, 5, 6, 7, None}
     assert all(0 < r.taken <= 2 * r.size for r in out)
+
+
+def test_scratch_gives_settings_back(spark):
+    from quadmill.llm.common import SHUFFLE_CLEANUP, Scratch, setting
+
+    scratch = Scratch(spark, "settings")
+    given = spark.conf.get(SHUFFLE_CLEANUP, None)
+    saved = scratch.save(spark.range(100).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count())
+    assert spark.conf.get(SHUFFLE_CLEANUP, None) == given
+    assert saved.count() == 7 and saved.agg(F.sum("count")).first()[0] == 100
+    scratch.clear()
+    with pytest.raises(ValueError), setting(spark, SHUFFLE_CLEANUP, "true"):
+        assert spark.conf.get(SHUFFLE_CLEANUP) == "true"
+        raise ValueError
+    assert spark.conf.get(SHUFFLE_CLEANUP, None) == given
