@@ -49,6 +49,7 @@ def links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     The 64 bits are cut into distance // 2 + 1 segments, so that one of them differs in one bit at most: with 3 bits,
     two segments of 32. Each fingerprint is indexed under every variant of each segment with one bit left out; two of them
     are close enough only if they meet in a variant. Keys are (segment, bit, value); the join keeps verified pairs alone.
+    It is merged at any size: Spark takes the variants to be as small as the fingerprints and would broadcast them.
     """
     n = distance // 2 + 1
     edges = [64 * i // n for i in range(n + 1)]
@@ -56,7 +57,7 @@ def links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     masks = [((1 << hi) - (1 << lo)) & ~(1 << bit) for lo, hi, bit in variants]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     rows = prints.select("fp").distinct().select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in signed])).alias("variant", "value"))
-    a, b = rows.alias("a"), rows.alias("b")
+    a, b = rows.hint("merge").alias("a"), rows.hint("merge").alias("b")
     met = a.join(b, (F.col("a.variant") == F.col("b.variant")) & (F.col("a.value") == F.col("b.value")) & (F.col("a.fp") < F.col("b.fp")) & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= distance))
     return met.select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b")).distinct()
 

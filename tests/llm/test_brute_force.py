@@ -228,6 +228,16 @@ def test_simhash_links_at_every_distance(spark):
         assert got == {(a, b) for a in all_ for b in all_ if a < b and bin(a ^ b).count("1") <= distance}
 
 
+def test_variants_are_never_broadcast(spark):
+    rng = np.random.default_rng(4)
+    prints = spark.createDataFrame([(int(f),) for f in rng.integers(-(1 << 63), 1 << 63, 500)], "fp long")
+    with common.setting(spark, "spark.sql.autoBroadcastJoinThreshold", "10MB"):
+        found = simhash.links(prints)
+        found.collect()
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_one_of_each_keeps_the_smallest(spark, docs):
     twice = docs.union(docs.withColumn("doc_id", F.col("doc_id") + 10_000)).union(docs.limit(10))
     kept = simhash.one_of_each(twice)
