@@ -30,7 +30,8 @@ PASSAGE, WINNOW = 24, 9
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_LOWER = np.arange(256, dtype=np.uint64)
+#: One more than each byte, A-Z as a-z.
+_LOWER = np.arange(1, 257, dtype=np.uint64)
 _LOWER[65:91] += 32
 _seeds = np.random.Generator(np.random.PCG64(5))
 _MUL = _seeds.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -68,42 +69,48 @@ _BYTES, _WORDS = _Powers(_P), _Powers(_Q)
 def _spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, powers: _Powers) -> np.ndarray:
     """A hash of values[start:end] for each span, by prefix sums; the same for equal spans wherever they stand."""
     up, down = powers.get(len(values) + 1)
-    sums = np.r_[np.uint64(0), np.cumsum(values * up[: len(values)])]
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * up[: len(values)], out=sums[1:])
     return _mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
 class Text:
-    """A text's words as byte spans and hashes, and its lines as word spans. A-Z count as a-z."""
+    """A text's words as byte spans and hashes. A-Z count as a-z."""
 
     def __init__(self, text: str):
-        raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-        space = np.r_[True, _SPACE[raw], True]
+        self.raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+        space = np.ones(len(self.raw) + 2, bool)
+        space[1:-1] = _SPACE[self.raw]
         edge = np.flatnonzero(space[1:] != space[:-1])
         self.starts, self.ends = edge[::2], edge[1::2]
         with np.errstate(over="ignore"):
-            self.hashes = _spans(_LOWER[raw] + np.uint64(1), self.starts, self.ends, _BYTES)
-        breaks = np.flatnonzero(raw == 10)
-        at, n = np.unique(np.searchsorted(self.starts, breaks), return_counts=True)
-        first = np.unique(np.r_[0, at])
-        self.lines = np.stack([first, np.r_[first[1:], len(self.starts)]], 1)
-        self.after_blank = np.isin(first, at[n > 1])
+            self.hashes = _spans(_LOWER[self.raw], self.starts, self.ends, _BYTES)
 
     def units(self) -> np.ndarray:
         """Lines as word spans, and after them the other spans that count as one: lines up to a blank one, and runs of lines
         of fewer than MIN_WORDS words. None of fewer than SHINGLE words."""
-        lo, hi = self.lines.T
-        short = hi - lo < MIN_WORDS
-        turns = self.after_blank | np.r_[True, short[1:] != short[:-1]]
-        parts = []
-        for new, fits in ((self.after_blank, np.ones(len(lo), bool)), (turns, short)):
-            at = np.unique(np.r_[0, np.flatnonzero(new)])
-            end = np.r_[at[1:], len(lo)]
-            many = (end - at > 1) & fits[at]
-            parts.append(np.stack([lo[at[many]], hi[end[many] - 1]], 1))
-        more = np.unique(np.concatenate(parts), axis=0)
-        more = more[more[:, 1] != hi[np.searchsorted(lo, more[:, 0])]]  # a line and empty ones
-        found = np.concatenate([self.lines, more])
-        return found[found[:, 1] - found[:, 0] >= SHINGLE]
+        lo, breaks = [0], [0]
+        for at in np.searchsorted(self.starts, np.flatnonzero(self.raw == 10)).tolist():
+            if at == lo[-1]:
+                breaks[-1] += 1
+            else:
+                lo.append(at)
+                breaks.append(1)
+        hi = [*lo[1:], len(self.starts)]
+        short = [b - a < MIN_WORDS for a, b in zip(lo, hi)]
+        more, part, run = set(), 0, 0
+        for i in range(1, len(lo) + 1):
+            ends = i == len(lo) or breaks[i] > 1
+            if ends or short[i] != short[run]:
+                if short[run] and hi[i - 1] != hi[run]:  # else a line and empty ones
+                    more.add((lo[run], hi[i - 1]))
+                run = i
+            if ends:
+                if hi[i - 1] != hi[part]:
+                    more.add((lo[part], hi[i - 1]))
+                part = i
+        found = [(a, b) for a, b in [*zip(lo, hi), *sorted(more)] if b - a >= SHINGLE]
+        return np.array(found, np.int64).reshape(-1, 2)
 
     def windows(self, lo: int, hi: int, k: int) -> np.ndarray:
         """Hashes of all k consecutive words of words[lo:hi]."""
@@ -119,9 +126,11 @@ def _signed(x: np.ndarray) -> np.ndarray:
 def _least_per_line(grams: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """(lines, BANDS * ROWS): the minima of the permuted hashes of grams[lo:hi] of each line."""
     cuts = np.stack([lo, hi], 1).reshape(-1)
-    padded = np.r_[grams, np.uint64(0)]  # an end may be the last place
+    padded = np.append(grams, np.uint64(0))  # an end may be the last place
     if len(padded) <= _AT_ONCE:
-        return np.minimum.reduceat(np.outer(_MUL, padded) + _ADD[:, None], cuts, axis=1)[:, ::2].T
+        permuted = np.multiply.outer(_MUL, padded)
+        permuted += _ADD[:, None]
+        return np.minimum.reduceat(permuted, cuts, axis=1)[:, ::2].T
     return np.stack([np.minimum.reduceat(padded * m + a, cuts)[::2] for m, a in zip(_MUL, _ADD)], 1)
 
 
@@ -147,8 +156,10 @@ def passages(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     h = t.windows(0, len(t.hashes), PASSAGE)
     if not len(h):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), h
-    view = np.lib.stride_tricks.sliding_window_view(h, min(WINNOW, len(h)))
-    at = np.unique(np.arange(len(view)) + view.argmin(1))
+    n = min(WINNOW, len(h))
+    view = np.ndarray((len(h) - n + 1, n), h.dtype, h, strides=h.strides * 2)
+    at = np.arange(len(view)) + view.argmin(1)
+    at = at[np.append(True, at[1:] != at[:-1])]  # the first of the least never moves back
     return t.starts[at], t.ends[at + PASSAGE - 1], h[at]
 
 
