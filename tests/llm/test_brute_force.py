@@ -239,6 +239,16 @@ def test_variants_are_never_broadcast(spark):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+def test_the_stage_of_near_copies_broadcasts_no_variants(spark, monkeypatch):
+    seen, links = [], simhash.links
+    monkeypatch.setattr(simhash, "links", lambda *a: seen.append(links(*a)) or seen[-1])
+    frame = spark.createDataFrame([(i, f"one two three w{i}") for i in range(200)], "doc_id long, text string")
+    with common.cleared(), common.setting(spark, "spark.sql.autoBroadcastJoinThreshold", "10MB"), common.small_batches(spark):
+        corpus_pipeline.drop_near_copies(spark, frame, "")
+        seen[0].collect()
+        assert "Broadcast" not in seen[0]._jdf.queryExecution().executedPlan().toString()
+
+
 def test_one_of_each_keeps_the_smallest(spark, docs):
     twice = docs.union(docs.withColumn("doc_id", F.col("doc_id") + 10_000)).union(docs.limit(10))
     kept = simhash.one_of_each(twice)
