@@ -40,6 +40,12 @@ def own_names(df: DataFrame) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.startswith("_")])
 
 
+def merged(df: DataFrame) -> DataFrame:
+    """df as a side of a join that is merged at any size. Tables that grow with the documents are not to be gathered on the
+    driver: Spark would broadcast them by the size of their files or shuffled rows, a fourth or less of what the driver holds then."""
+    return df.hint("merge")
+
+
 def alnum_words(text: Column) -> Column:
     """Lower-cased runs of letters, digits and all that is not ASCII; none for null."""
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), NOT_ALNUM), "")
@@ -175,9 +181,9 @@ def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 6
         rounds += 1
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(merged(least), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = large.join(merged(least), "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         new = scratch.save(small.union(least.select("a", F.col("m").alias("b"))).distinct())
         scratch.drop(now)
         now = new

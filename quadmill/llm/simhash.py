@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import LOWER, UPPER, Scratch, connected_components, own_names
+from .common import LOWER, UPPER, Scratch, connected_components, merged, own_names
 
 SHINGLE = 3
 DISTANCE = 3
@@ -57,7 +57,7 @@ def links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     masks = [((1 << hi) - (1 << lo)) & ~(1 << bit) for lo, hi, bit in variants]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     rows = prints.select("fp").distinct().select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in signed])).alias("variant", "value"))
-    a, b = rows.hint("merge").alias("a"), rows.hint("merge").alias("b")
+    a, b = merged(rows).alias("a"), merged(rows).alias("b")
     met = a.join(b, (F.col("a.variant") == F.col("b.variant")) & (F.col("a.value") == F.col("b.value")) & (F.col("a.fp") < F.col("b.fp")) & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= distance))
     return met.select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b")).distinct()
 
@@ -68,7 +68,7 @@ def _groups(docs: DataFrame, distance: int) -> tuple[DataFrame, DataFrame]:
     rows = scratch.save(docs.select("doc_id", F.xxhash64("text").alias("h"), fingerprints("text").alias("fp")))
     nodes = rows.select("fp").distinct()
     roots = connected_components(scratch.save(links(nodes, distance)), scratch)
-    return rows, nodes.join(roots, nodes.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    return rows, nodes.join(merged(roots), nodes.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
@@ -79,22 +79,22 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     Exact copies share a fingerprint, so they are one node; they never make pairs.
     """
     rows, groups = _groups(docs, distance)
-    placed = rows.groupBy("fp").agg(F.min("doc_id").alias("least")).join(groups, "fp")
+    placed = rows.groupBy("fp").agg(F.min("doc_id").alias("least")).join(merged(groups), "fp")
     ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = placed.join(ids, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = placed.join(merged(ids), "root").select("fp", "component_id")
+    return rows.join(merged(named), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """docs with one row of each component: the smallest doc_id's (null last), among equal ids the smallest text hash's.
-    Texts are read where they lie; only if rows repeat in both are they shuffled, to keep one."""
+    Texts are shuffled once, to meet the chosen rows, and where rows repeat in both once more, to keep one."""
     docs = own_names(docs)
     rows, groups = _groups(docs, distance)
     order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "h")
-    least = rows.groupBy("fp").agg(F.min(order).alias("first")).join(groups, "fp").groupBy("root").agg(F.min("first").alias("first"))
+    least = rows.groupBy("fp").agg(F.min(order).alias("first")).join(merged(groups), "fp").groupBy("root").agg(F.min("first").alias("first"))
     chosen = least.select(F.col("first.doc_id").alias("_d"), F.col("first.h").alias("_h"))
     hashed = docs.withColumn("_text", F.xxhash64("text"))
-    out = hashed.join(chosen, hashed.doc_id.eqNullSafe(chosen._d) & (hashed._text == chosen._h), "left_semi")
+    out = hashed.join(merged(chosen), hashed.doc_id.eqNullSafe(chosen._d) & (hashed._text == chosen._h), "left_semi")
     if not rows.groupBy("doc_id", "h").count().where("count > 1").isEmpty():
         out = out.dropDuplicates(["doc_id", "_text"])
     return out.drop("_text")

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components, own_names, small_batches
+from .common import Scratch, connected_components, merged, own_names, small_batches
 
 #: Lines of fewer words count as short: runs of them are paragraphs too.
 MIN_WORDS = 25
@@ -287,23 +287,23 @@ def near_paragraphs(lines: DataFrame, docs: DataFrame, scratch: Scratch) -> Data
     # A band's value tells the band too. Most stand alone: those go first, by counts that are combined before the shuffle.
     banded = each.select("key", F.col("at.doc_id").alias("low"), "high", F.explode("bands").alias("value"))
     shared = banded.groupBy("value").agg(F.count("*").alias("n")).where("n > 1")
-    banded = scratch.save(banded.join(shared, "value"))
+    banded = scratch.save(banded.join(merged(shared), "value"))
     members = [F.bit_xor(F.xxhash64("key", F.lit(i))).alias(f"m{i}") for i in range(2)]
     buckets = banded.groupBy("value", "n").agg(*members, F.min("low").alias("low"), F.max("high").alias("high")).where("low < high")
     buckets = scratch.save(buckets.groupBy("n", "m0", "m1").agg(F.min("value").alias("value")).select("value", F.ceil(F.col("n") / BLOCK).alias("blocks")))
     owner = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(-1).alias("owner")
     block = F.pmod(F.xxhash64("key", "value"), "blocks").alias("block")
-    rows = scratch.save(banded.join(buckets, "value").select("key", owner, "value", "blocks", block))
+    rows = scratch.save(banded.join(merged(buckets), "value").select("key", owner, "value", "blocks", block))
     scratch.drop(banded)
 
-    wanted = rows.select("key").distinct().join(each, "key").select("key", "at.*")
+    wanted = rows.select("key").distinct().join(merged(each), "key").select("key", "at.*")
     wanted = wanted.groupBy(F.col("doc_id").alias("_d"), F.col("h").alias("_h")).agg(F.collect_list(F.struct("key", "start", "end")).alias("parts"))
     ids = docs.select("doc_id", "h", "text")
-    texts = ids.join(wanted, (ids.doc_id == wanted._d) & (ids.h == wanted._h)).select("text", "parts")
+    texts = ids.join(merged(wanted), (ids.doc_id == wanted._d) & (ids.h == wanted._h)).select("text", "parts")
     grams = scratch.save(texts.mapInPandas(_map_grams, "key long, grams array<long>"))
     scratch.drop(each)
     tasks = max(1, rows.count() // (2 * BLOCK))
-    inside = rows.withColumn("_task", F.pmod(F.xxhash64("value", "block"), F.lit(tasks))).join(grams, "key")
+    inside = rows.withColumn("_task", F.pmod(F.xxhash64("value", "block"), F.lit(tasks))).join(merged(grams), "key")
     edges = scratch.save(inside.groupBy("_task").applyInPandas(_link, "a long, b long").distinct())
 
     hot = rows.where("blocks > 1")
@@ -311,10 +311,10 @@ def near_paragraphs(lines: DataFrame, docs: DataFrame, scratch: Scratch) -> Data
         scratch.drop(grams)
         return edges
     roots = connected_components(edges, scratch)
-    hot = scratch.save(hot.join(roots, hot.key == roots.node, "left").withColumn("root", F.coalesce("root", "key")).drop("node"))
+    hot = scratch.save(hot.join(merged(roots), hot.key == roots.node, "left").withColumn("root", F.coalesce("root", "key")).drop("node"))
     mixed = hot.groupBy("value").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a < _b").select("value")
-    pairs = hot.join(mixed, "value").withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).where("block <> _other")
-    across = pairs.withColumn("_task", F.xxhash64("value", F.least("block", "_other"), F.greatest("block", "_other"))).join(grams, "key")
+    pairs = hot.join(merged(mixed), "value").withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).where("block <> _other")
+    across = pairs.withColumn("_task", F.xxhash64("value", F.least("block", "_other"), F.greatest("block", "_other"))).join(merged(grams), "key")
     more = scratch.save(across.groupBy("_task").applyInPandas(_link_across, "a long, b long").distinct())
     scratch.drop(grams)
     return edges.union(more)
@@ -338,11 +338,11 @@ def extended(hits: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     wanted = edges.select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), F.col("start").alias("at")).union(edges.select("first_doc_id", "first_h", "first_at"))
     wanted = wanted.groupBy("_d", "_h").agg(F.collect_set("at").alias("places"))
     ids = docs.select("doc_id", "h", "text")
-    texts = ids.join(wanted, (ids.doc_id == wanted._d) & (ids.h == wanted._h)).select("doc_id", "h", "text", "places")
+    texts = ids.join(merged(wanted), (ids.doc_id == wanted._d) & (ids.h == wanted._h)).select("doc_id", "h", "text", "places")
     sides = texts.mapInPandas(_map_sides, "doc_id long, h long, at int, words binary, left array<long>, left_at array<int>, right array<long>, right_at array<int>")
     sides = scratch.save(sides)
     firsts = sides.select(F.col("doc_id").alias("first_doc_id"), F.col("h").alias("first_h"), F.col("at").alias("first_at"), F.col("words").alias("first_words"), F.col("left").alias("first_left"), F.col("right").alias("first_right"))
-    both = edges.join(sides.withColumnRenamed("at", "start"), ["doc_id", "h", "start"]).join(firsts, ["first_doc_id", "first_h", "first_at"]).where("words = first_words")
+    both = edges.join(merged(sides.withColumnRenamed("at", "start")), ["doc_id", "h", "start"]).join(merged(firsts), ["first_doc_id", "first_h", "first_at"]).where("words = first_words")
 
     def end(side: str, otherwise: str) -> Column:
         alike = F.zip_with(side, f"first_{side}", lambda a, b: F.coalesce(a == b, F.lit(False)))
@@ -364,10 +364,10 @@ def _found(docs: DataFrame, windows: bool, scratch: Scratch) -> DataFrame:
     lines = scratch.save(slim.mapInPandas(_map_paragraphs, "doc_id long, h long, start int, end int, key long, bands array<long>"))
     roots = connected_components(scratch.save(near_paragraphs(lines, slim, scratch)), scratch)
     least = lines.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    placed = least.join(roots, least.key == roots.node, "left").withColumn("root", F.coalesce("root", "key"))
+    placed = least.join(merged(roots), least.key == roots.node, "left").withColumn("root", F.coalesce("root", "key"))
     first = placed.groupBy("root").agg(F.min("low").alias("first_doc_id"), F.max("high").alias("last"))
-    named = placed.join(first.where("first_doc_id < last"), "root").select("key", "first_doc_id")
-    whole = lines.join(named, "key").where("doc_id > first_doc_id").select("doc_id", "h", "first_doc_id", "start", "end")
+    named = placed.join(merged(first.where("first_doc_id < last")), "root").select("key", "first_doc_id")
+    whole = lines.join(merged(named), "key").where("doc_id > first_doc_id").select("doc_id", "h", "first_doc_id", "start", "end")
 
     if windows:
         chosen = slim.mapInPandas(_map_passages, "doc_id long, h long, start int, end int, key long, known long, known_h long, known_start int, settled boolean")
@@ -413,7 +413,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     docs = own_names(docs)
     found = repeats(docs)
     per = found.groupBy(F.col("doc_id").alias("_d"), F.col("h").alias("_h")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_cuts"))
-    out = docs.join(per, docs.doc_id.eqNullSafe(per._d) & (F.xxhash64(docs.text) == per._h), "left")
+    out = docs.join(merged(per), docs.doc_id.eqNullSafe(per._d) & (F.xxhash64(docs.text) == per._h), "left")
     out = out.withColumn("text", F.when(F.col("_cuts").isNull(), F.col("text")).otherwise(cut(F.col("text"), F.col("_cuts"))))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

@@ -249,6 +249,25 @@ def test_the_stage_of_near_copies_broadcasts_no_variants(spark, monkeypatch):
         assert "Broadcast" not in seen[0]._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("stage", ["drop_near_copies", "cut_repeats"])
+def test_stages_on_pairs_broadcast_no_table(spark, monkeypatch, stage):
+    plans, save = [], common.Scratch.save
+
+    def ran(df):
+        df.collect()
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    monkeypatch.setattr(common.Scratch, "save", lambda self, df: save(self, ran(df)))
+    monkeypatch.setattr(substrings, "BLOCK", 2)
+    words = [f"word{i}" for i in range(40)]
+    rows = [(i, " ".join([*words[: 36 + i % 4], f"w{i}"]) + f"\nthis line is only in text {i}") for i in range(12)]
+    with common.cleared(), common.setting(spark, "spark.sql.autoBroadcastJoinThreshold", "10MB"):
+        with common.small_batches(spark):
+            ran(getattr(corpus_pipeline, stage)(spark, spark.createDataFrame(rows, "doc_id long, text string"), ""))
+    assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastExchange" in p for p in plans)
+
+
 def test_one_of_each_keeps_the_smallest(spark, docs):
     twice = docs.union(docs.withColumn("doc_id", F.col("doc_id") + 10_000)).union(docs.limit(10))
     kept = simhash.one_of_each(twice)
